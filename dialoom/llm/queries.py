@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash, token_files, toxicity
+from dialoom.llm import embedding_dedup, exact_dedup, line_dedup, mixing, packing, quality, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_query(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_query(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_simhash, op4_packing, op5_token_files, op6_quality, op8_line_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_simhash, op4_packing, op5_token_files, op6_quality, op7_embedding_dedup, op8_line_dedup, op9_toxicity)}
 
 SQL = {
     "op2_exact_dedup": """
