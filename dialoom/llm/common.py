@@ -129,6 +129,11 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to as many tasks as exchanges have: for work that costs more than its bytes show."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_map, components, local_components, run_ids, runs, written
+from dialoom.llm.common import arrow_map, components, dealt, local_components, run_ids, runs, written
 
 
 @dataclass(frozen=True)
@@ -157,8 +157,8 @@ def _refine(lists: DataFrame, nodes: DataFrame, s: Settings, turn: int) -> DataF
                 src, dst, sim = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sim)], names=["src", "dst", "sim"])
 
-    dealt = around.join(rich, "node").select("hub", "node", "sim", "vec", "floor").repartition("hub").sortWithinPartitions("hub", F.when(F.col("sim") >= s.threshold, F.pmod(F.xxhash64("hub", "node", F.lit(turn)), F.lit(1000)) - 2000).otherwise(-F.col("sim")))
-    return arrow_map(dealt, run, LIST)
+    near = dealt(around.join(rich, "node").select("hub", "node", "sim", "vec", "floor"), "hub").sortWithinPartitions("hub", F.when(F.col("sim") >= s.threshold, F.pmod(F.xxhash64("hub", "node", F.lit(turn)), F.lit(1000)) - 2000).otherwise(-F.col("sim")))
+    return arrow_map(near, run, LIST)
 
 
 def exact_links(queries: DataFrame, nodes: DataFrame, n_queries: int, n: int, s: Settings) -> DataFrame:
@@ -199,7 +199,7 @@ def exact_links(queries: DataFrame, nodes: DataFrame, n_queries: int, n: int, s:
                 other = both[len(a) :] != root[len(a) :]
                 yield pa.RecordBatch.from_arrays([pa.array(both[len(a) :][other]), pa.array(root[len(a) :][other]), pa.array(np.full(int(other.sum()), -1))], names=["src", "dst", "n"])
 
-    return arrow_map(asks.unionByName(rows).repartition(*keys).sortWithinPartitions(*keys, "side"), run, "src long, dst long, n long")
+    return arrow_map(dealt(asks.unionByName(rows), *keys).sortWithinPartitions(*keys, "side"), run, "src long, dst long, n long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", s: Settings = Settings()) -> tuple[DataFrame, dict]:

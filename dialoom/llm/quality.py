@@ -47,15 +47,16 @@ def statistics(text: bytes) -> list[float]:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x): x holds the STATISTICS. One pass, no exchange."""
+    """(doc_id, text_hash, x): x holds the STATISTICS. One pass, no exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in utf8_of(b.column(1))], dtype=np.float32).reshape(b.num_rows, -1)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS)).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), flat], names=["doc_id", "text_hash", "x"])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, x array<float>")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), run, "doc_id long, text_hash long, x array<float>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -164,15 +165,15 @@ def fit(stats: DataFrame, labels: DataFrame, size: int = 256, width: float = 4.0
 
 
 def score(stats: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score): without a model every score is 0.5."""
+    """(doc_id, text_hash, score): without a model every score is 0.5."""
     if model is None:
-        return stats.select("doc_id", F.lit(0.5).alias("score"))
+        return stats.select("doc_id", "text_hash", F.lit(0.5).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(_matrix(b.column(2))))], names=["doc_id", "text_hash", "score"])
 
-    return arrow_map(stats.select("doc_id", "x"), run, "doc_id long, score double")
+    return arrow_map(stats.select("doc_id", "text_hash", "x"), run, "doc_id long, text_hash long, score double")
 
 
 def in_fold(doc_id: Column, parts: int, rest: int) -> Column:
@@ -181,7 +182,7 @@ def in_fold(doc_id: Column, parts: int, rest: int) -> Column:
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs.
+    """(doc_id, held_out, score, predicted, text_hash) for every row of docs.
 
     Labels are read only for rows outside the held-out fold (crc32 of doc_id mod 3 is 1). Null texts count
     as empty; empty texts are scored like any other. Rows that repeat are each returned. Without usable
@@ -190,4 +191,4 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     stats = written(document_statistics(docs, id_col, text_col), "quality-stats")
     seen = labels.where(~in_fold(F.col("doc_id"), 3, 1)).select("doc_id", F.col("quality").alias("y"))
     scored = score(stats, fit(stats, seen))
-    return scored.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_hash")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import embedding_dedup, exact_dedup, line_dedup, mixing, packing, quality, simhash, token_files, toxicity
+from dialoom.llm import embedding_dedup, exact_dedup, line_dedup, mixing, packing, passages, quality, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_simhash, op4_packing, op5_token_files, op6_quality, op7_embedding_dedup, op8_line_dedup, op9_toxicity)}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages_query(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_simhash, op4_packing, op5_token_files, op6_quality, op7_embedding_dedup, op8_line_dedup, op9_toxicity, op10_passages)}
 
 SQL = {
     "op2_exact_dedup": """

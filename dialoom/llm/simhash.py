@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm.bk_tree import Forest
-from dialoom.llm.common import arrow_map, components, local_components, run_ids, runs, utf8_of, written
+from dialoom.llm.common import arrow_map, components, dealt, local_components, run_ids, runs, utf8_of, written
 
 #: Members of a part of a shard. A larger shard is dealt out in parts, and each pair of parts is a task of its own.
 PART = 512
@@ -98,8 +98,7 @@ def near_links(nodes: DataFrame, radius: int = 4, part: int = PART) -> DataFrame
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(node[order][out]), pa.array(low[out])], names=["u", "v"])
 
-    dealt = units.repartition(*keys).sortWithinPartitions(*keys)
-    return arrow_map(dealt, run, "u long, v long")
+    return arrow_map(dealt(units, *keys).sortWithinPartitions(*keys), run, "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
