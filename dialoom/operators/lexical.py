@@ -52,7 +52,8 @@ def search(ix: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: str
     """(query_id, rank, doc_id, score) of the top_k for each query.
 
     The queries' terms cut the postings down before anything is scored; a term that a query repeats counts
-    as often. Equal scores rank by doc_id, and scores are rounded to six places only after ranking.
+    as often. Scores rank at nine places, so that the order of summing does not matter; equal ones rank by doc_id.
+    They are rounded to six places after ranking.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     k1, b = ix.config.k1, ix.config.b
@@ -60,7 +61,7 @@ def search(ix: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: str
     hits = ix.postings.join(asked, "term").join(ix.df, "term").join(F.broadcast(ix.stats.select("documents", "avg_length")))
     idf = F.log((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_length"))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * idf * F.col("tf") * (k1 + 1) / norm).alias("raw")).where("raw > 0")
+    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * F.col("tf") * (k1 + 1) / norm), 9).alias("raw")).where("raw > 0")
     return ranked(scored, "raw", top_k)
 
 
