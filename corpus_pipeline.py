@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm import line_dedup, mixing, packing, quality, simhash
 from dialoom.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-TEXT_HASH = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +23,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier does not reject."""
     scored = quality.quality(docs, _labels(spark, sf_dir))
     rejected = scored.where("predicted = 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
-    return docs.join(rejected, docs.doc_id.eqNullSafe(F.col("id")) & (TEXT_HASH == F.col("hash")), "left_anti").select(COLUMNS)
+    return docs.join(rejected, docs.doc_id.eqNullSafe(F.col("id")) & (_text_hash() == F.col("hash")), "left_anti").select(COLUMNS)
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Each document as often as its rate says: not at all, once or several times."""
     rated, _ = mixing.mix(docs, mixing.language_labels(docs, _labels(spark, sf_dir)))
     other = rated.where("copies <> 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "copies").distinct()
-    counted = docs.join(other, docs.doc_id.eqNullSafe(F.col("id")) & (TEXT_HASH == F.col("hash")), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    counted = docs.join(other, docs.doc_id.eqNullSafe(F.col("id")) & (_text_hash() == F.col("hash")), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     return counted.where("copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
 
 
