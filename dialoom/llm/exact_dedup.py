@@ -49,9 +49,12 @@ class StreamingDedup:
         ).withColumn("digest", digest(F.col("norm"), self.bits))
 
     def update(self) -> None:
-        conf, key = self.spark.conf, "spark.sql.streaming.stateStore.providerClass"
-        before = conf.get(key, None)
-        conf.set(key, ROCKS)
+        conf = self.spark.conf
+        # A store is closed when its task has committed it: the state rests in the checkpoint, not on every executor's disk.
+        wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+        before = {key: conf.get(key, None) for key in wanted}
+        for key, value in wanted.items():
+            conf.set(key, value)
         try:
             whole = self.path.rstrip("/")
             rows = self._rows(self.spark.readStream.schema(self.schema).parquet(f"{whole[:-1]}[{whole[-1]}]"))  # as a pattern, which may name a file or a folder
@@ -64,7 +67,8 @@ class StreamingDedup:
             query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/stream").trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            conf.unset(key) if before is None else conf.set(key, before)
+            for key, value in before.items():
+                conf.unset(key) if value is None else conf.set(key, value)
 
     def state(self) -> DataFrame:
         entries = self.spark.read.schema("digest string, keep struct<doc_id: %s, file: string, row: bigint>, n bigint, batch int" % self.schema[self.id_col].dataType.simpleString()).option("basePath", f"{self.at}/entries").parquet(f"{self.at}/entries")
