@@ -25,13 +25,13 @@ def _shingle(code: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(code, at * 2 + 1, F.lit(2 * SHINGLE)))
 
 
-def _last(line: Column) -> Column:
-    return F.greatest(F.lit(0), F.char_length(line) - SHINGLE)
+def _last(code: Column) -> Column:
+    """The position of a line's last shingle."""
+    return F.greatest(F.lit(0), F.floor(F.octet_length(code) / 2).cast("int") - SHINGLE)
 
 
-def _shingles(line: str) -> Column:
-    code = F.encode(F.col(line), "UTF-16BE")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(F.col(line))), lambda i: _shingle(code, i)))
+def _shingles(code: str) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(F.col(code))), lambda i: _shingle(F.col(code), i)))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -44,8 +44,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     bins = BANDS * ROWS
     different = lines.groupBy("id").agg(F.min(F.struct("doc", "th", "pos", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
     different = different.select("id", "n", F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"), F.encode("first.norm", "UTF-16BE").alias("code"))
-    last = F.greatest(F.lit(0), F.floor(F.octet_length("code") / 2).cast("int") - SHINGLE)
-    hashed = different.select("id", "n", "doc", "th", "pos", "code", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("id", "n", "doc", "th", "pos", _shingle(F.col("code"), F.col("at")).alias("h"))
+    hashed = different.select("id", "n", "doc", "th", "pos", "code", F.explode(F.sequence(F.lit(0), _last(F.col("code")))).alias("at")).select("id", "n", "doc", "th", "pos", _shingle(F.col("code"), F.col("at")).alias("h"))
     hashed = hashed.withColumn("bin", F.pmod(F.col("h"), F.lit(bins)))
     least = hashed.groupBy("id", "n", "doc", "th", "pos").agg(*[F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(bins)])
     low = F.least(*[F.col(f"m{k}") for k in range(bins)])
@@ -56,8 +55,8 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """pairs(u, v) with their exact Jaccard similarity of shingles put against the threshold."""
-    of = lambda side: texts.select(F.col("id").alias(side), F.col("norm").alias(f"{side}_norm"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", _shingles("u_norm").alias("a"), _shingles("v_norm").alias("b"))
+    of = lambda side: texts.select(F.col("id").alias(side), F.col("code").alias(f"{side}_code"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", _shingles("u_code").alias("a"), _shingles("v_code").alias("b"))
     common = both.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
     return common.select("u", "v", (F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).alias("near"))
 
@@ -73,7 +72,7 @@ def near_lines(lines: DataFrame, known: DataFrame, threshold: float = 0.8) -> Da
     buckets = written(members.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-buckets")
     left = written(members.join(buckets, "key").select("key", "id", "rep"), "lines-members")
     needed = written(left.select("id").distinct(), "lines-needed")
-    texts = written(lines.join(needed, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm")), "lines-texts")
+    texts = written(lines.join(needed, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm")).select("id", F.encode("norm", "UTF-16BE").alias("code")), "lines-texts")
     links = None
     for _ in range(ROUNDS):
         pairs = left.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
