@@ -65,7 +65,7 @@ def segments(data: np.ndarray, ends: np.ndarray, size: int, gram: int, hashes: _
         step = min(have, span - have)
         least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    text = np.searchsorted(ends, np.arange(len(least)), side="right")
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(least)]
     valid = np.arange(len(least)) + size <= ends[text]
     first = np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])]
     begin = np.flatnonzero(first)
