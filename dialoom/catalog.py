@@ -175,9 +175,9 @@ def _lexical(spark, d, k=25):
     return lexical.search(lexical.index(_table(spark, d, "documents")), _queries(spark, d), k)
 
 
-@query(f"WITH {BM25} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM lex WHERE rank <= 10")
+@query(f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM lex WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return _lexical(spark, d, 10).withColumn("score", F.round("score", 4))
+    return _lexical(spark, d, 10)
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY term")
@@ -238,9 +238,9 @@ def fuse_rrf(spark, d):
 @query(f"""WITH {SIDES}, ln AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM lex WINDOW w AS (PARTITION BY query_id)),
     sn AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM sem WINDOW w AS (PARTITION BY query_id)),
     f AS (SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.doc_id, s.doc_id) AS doc_id, 0.5 * coalesce(l.s, 0) + 0.5 * coalesce(s.s, 0) AS raw FROM ln l FULL JOIN sn s ON l.query_id = s.query_id AND l.doc_id = s.doc_id)
-    SELECT query_id, rank, doc_id, round(raw, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
+    SELECT query_id, rank, doc_id, round(raw, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
 def fuse_linear(spark, d):
-    return fusion.linear(_lexical(spark, d), _semantic(spark, d)).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return fusion.linear(_lexical(spark, d), _semantic(spark, d)).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"""WITH {RRF}, both_q AS (SELECT query_id FROM lex INTERSECT SELECT query_id FROM sem), alone AS (SELECT query_id, doc_id, score FROM lex UNION ALL SELECT query_id, doc_id, score FROM sem)
