@@ -1,16 +1,22 @@
-"""Fuzzy line deduplication by MinHash. DataFrame functions only."""
+"""Fuzzy line deduplication by MinHash."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import components, written
+from dialoom.llm.common import arrow_map, components, written
 
 #: Characters in a shingle, bands, and rows of a band.
 SHINGLE, BANDS, ROWS = 8, 8, 3
 #: Buckets are re-dealt to a new representative this often; what is then left is compared in full.
 ROUNDS = 6
+#: One for each doubling of 1 unit to SHINGLE.
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -20,45 +26,91 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc", "th", "pos", F.lower(F.trim("line")).alias("norm")).where("norm <> ''").withColumn("id", F.xxhash64("norm"))
 
 
-def _shingle(code: Column, at: Column) -> Column:
-    """The hash of the shingle at a position of a line in UTF-16, two bytes a character: no scan from the start."""
-    return F.xxhash64(F.substring(code, at * 2 + 1, F.lit(2 * SHINGLE)))
+def _hashes(units: np.ndarray) -> np.ndarray:
+    """The hash of the shingle that starts at each UTF-16 unit, where one fits."""
+    with np.errstate(over="ignore"):
+        h, reach = units.astype(np.uint64), 1
+        for factor in _FACTORS:  # 1, 2, 4 units at once, up to SHINGLE
+            h = h[:-reach] + h[reach:] * factor
+            reach *= 2
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
 
+def _units(line: str) -> bytes:
+    """UTF-16 of a line; one shorter than a shingle is filled up with zeros and is one shingle."""
+    code = line.encode("utf-16-le", "surrogatepass")
+    return code if len(code) >= 2 * SHINGLE else code.ljust(2 * SHINGLE, b"\0")
 
-def _last(code: Column) -> Column:
-    """The position of a line's last shingle."""
-    return F.greatest(F.lit(0), F.floor(F.octet_length(code) / 2).cast("int") - SHINGLE)
 
+def band_keys(lines: list[str], block: int = 1 << 16) -> np.ndarray:
+    """(lines, BANDS) keys by one-permutation MinHash of the lines' shingles.
 
-def _shingles(code: str) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(F.col(code))), lambda i: _shingle(F.col(code), i)))
+    A shingle's hash picks one of BANDS x ROWS bins and is a candidate for the bin's minimum. An empty bin takes
+    the minimum of all, hashed with the bin's number. Long lines are worked through in blocks, whole.
+    """
+    bins, most = BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF)
+    codes = [_units(x) for x in lines]
+    units = np.frombuffer(b"".join(codes), dtype="<u2")
+    ends = np.cumsum([len(c) // 2 for c in codes])
+    least = np.full(len(codes) * bins, most)
+    for at in range(0, len(units), block):
+        h = _hashes(units[at : at + block + SHINGLE - 1])
+        place = np.arange(at, at + len(h))
+        low, high = np.searchsorted(ends, [at, at + len(h) - 1], side="right")
+        of = np.repeat(np.arange(low, high + 1), np.diff(np.minimum(ends[low : high + 1], at + len(h)), prepend=at))
+        fits = place + SHINGLE <= ends[of]
+        h, of = h[fits], of[fits]
+        np.minimum.at(least, of * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), h)
+    least = least.reshape(-1, bins)
+    with np.errstate(over="ignore"):
+        low = least.min(axis=1, keepdims=True)
+        least = np.where(least == most, (low + np.arange(1, bins + 1, dtype=np.uint64)) * _FACTORS[0], least)
+        keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(least), axis=0)
+        for r in range(ROWS):
+            keys = (keys ^ least[:, r::ROWS]) * _FACTORS[1]
+            keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(id, doc, th, pos, n, bands): one row for each different line, with its first place, its count and its band keys.
 
-    One-permutation MinHash: a shingle's hash picks one of BANDS x ROWS bins and is a candidate for the
-    bin's minimum. An empty bin takes the minimum of all, hashed with the bin's number. The rows stay where
-    the exchange by id put them: shingles are made and reduced again within the task.
+    Keys are made where the line is read, so that places and keys, not texts, are exchanged.
     """
-    bins = BANDS * ROWS
-    different = lines.groupBy("id").agg(F.min(F.struct("doc", "th", "pos", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
-    different = different.select("id", "n", F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"), F.encode("first.norm", "UTF-16BE").alias("code"))
-    hashed = different.select("id", "n", "doc", "th", "pos", "code", F.explode(F.sequence(F.lit(0), _last(F.col("code")))).alias("at")).select("id", "n", "doc", "th", "pos", _shingle(F.col("code"), F.col("at")).alias("h"))
-    hashed = hashed.withColumn("bin", F.pmod(F.col("h"), F.lit(bins)))
-    least = hashed.groupBy("id", "n", "doc", "th", "pos").agg(*[F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(bins)])
-    low = F.least(*[F.col(f"m{k}") for k in range(bins)])
-    filled = least.withColumn("low", low).select("id", "n", "doc", "th", "pos", *[F.coalesce(f"m{k}", F.xxhash64("low", F.lit(k))).alias(f"m{k}") for k in range(bins)])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return filled.select("id", "n", "doc", "th", "pos", F.array(*keys).alias("bands"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = band_keys(b.column(4).to_pylist())
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], flat], names=["doc", "th", "pos", "id", "bands"])
+
+    kind = lines.schema["doc"].dataType.simpleString()
+    keyed = arrow_map(lines.select("doc", "th", "pos", "id", "norm"), run, f"doc {kind}, th long, pos int, id long, bands array<long>")
+    different = keyed.groupBy("id").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    return different.select("id", "first.*", "n", "bands")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """pairs(u, v) with their exact Jaccard similarity of shingles put against the threshold."""
-    of = lambda side: texts.select(F.col("id").alias(side), F.col("code").alias(f"{side}_code"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", _shingles("u_code").alias("a"), _shingles("v_code").alias("b"))
-    common = both.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
-    return common.select("u", "v", (F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).alias("near"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of_held = None, None  # a representative is often the one before
+        for b in batches:
+            near = np.zeros(b.num_rows, dtype=bool)
+            for k, (v, one, two) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if held is None or v != held:
+                    held, of_held = v, np.unique(_hashes(np.frombuffer(_units(two), dtype="<u2")))
+                mine = np.unique(_hashes(np.frombuffer(_units(one), dtype="<u2")))
+                less, more = sorted((len(mine), len(of_held)))
+                if less >= threshold * more:  # else they cannot share enough
+                    both = len(np.intersect1d(mine, of_held, assume_unique=True))
+                    near[k] = both >= threshold * (less + more - both)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["u", "v", "near"])
+
+    of = lambda side: texts.select(F.col("id").alias(side), F.col("norm").alias(f"{side}_norm"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_norm", "v_norm")
+    return arrow_map(both, run, "u long, v long, near boolean")
 
 
 def near_lines(lines: DataFrame, known: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -72,7 +124,7 @@ def near_lines(lines: DataFrame, known: DataFrame, threshold: float = 0.8) -> Da
     buckets = written(members.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-buckets")
     left = written(members.join(buckets, "key").select("key", "id", "rep"), "lines-members")
     needed = written(left.select("id").distinct(), "lines-needed")
-    texts = written(lines.join(needed, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm")).select("id", F.encode("norm", "UTF-16BE").alias("code")), "lines-texts")
+    texts = written(lines.join(needed, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm")), "lines-texts")
     links = None
     for _ in range(ROUNDS):
         pairs = left.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()

@@ -275,3 +275,12 @@ def test_passages(spark, monkeypatch):
         want[(i, len(s), int(c.sum()), int((np.diff(np.r_[0, c.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == want
     assert passages.remove_passages(table(spark, [])).count() == 0
+
+
+def test_band_keys_do_not_depend_on_blocks():
+    lines = ["abc", "x" * 5000, "a line of some words, and others " * 40, "né " * 77, "12345678"]
+    whole = line_dedup.band_keys(lines)
+    assert (whole == line_dedup.band_keys(lines, block=64)).all()
+    assert (whole[2:4] == line_dedup.band_keys(lines[2:4])).all()
+    near = line_dedup.band_keys([lines[2], lines[2].replace("some", "many", 1)])
+    assert (near[0] == near[1]).any()
