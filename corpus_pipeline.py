@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import line_dedup, mixing, packing, quality, simhash
+from dialoom.llm import line_dedup, mixing, near_documents, packing, quality
 from dialoom.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,10 +32,9 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def different_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id. Documents with a null doc_id stay."""
-    groups = simhash.simhash_groups(docs, words=5)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id. Documents with a null doc_id stay."""
+    dropped = near_documents.near_documents(docs).select(F.col("doc_id").alias("id"), F.col("th").alias("hash"))
+    return docs.join(dropped, (docs.doc_id == F.col("id")) & (_text_hash() == F.col("hash")), "left_anti").select(COLUMNS)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
