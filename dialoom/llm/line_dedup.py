@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_map, components, written
+from dialoom.llm.common import arrow_map, written
+from dialoom.llm.similar import similar_groups
 
 #: Characters in a shingle, bands, and rows of a band.
 SHINGLE, BANDS, ROWS = 8, 8, 3
-#: Buckets are re-dealt to a new representative this often; what is then left is compared in full.
-ROUNDS = 6
 #: One for each doubling of 1 unit to SHINGLE.
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -91,56 +90,27 @@ def signatures(lines: DataFrame) -> DataFrame:
     return different.select("id", "first.*", "n", "bands")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """pairs(u, v) with their exact Jaccard similarity of shingles put against the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of_held = None, None  # a representative is often the one before
-        for b in batches:
-            near = np.zeros(b.num_rows, dtype=bool)
-            for k, (v, one, two) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if held is None or v != held:
-                    held, of_held = v, np.unique(_hashes(np.frombuffer(_units(two), dtype="<u2")))
-                mine = np.unique(_hashes(np.frombuffer(_units(one), dtype="<u2")))
-                less, more = sorted((len(mine), len(of_held)))
-                if less >= threshold * more:  # else they cannot share enough
-                    both = len(np.intersect1d(mine, of_held, assume_unique=True))
-                    near[k] = both >= threshold * (less + more - both)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["u", "v", "near"])
-
-    of = lambda side: texts.select(F.col("id").alias(side), F.col("norm").alias(f"{side}_norm"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_norm", "v_norm")
-    return arrow_map(both, run, "u long, v long, near boolean")
+def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines' shingles, and the number of the line of each."""
+    codes = [_units(x) for x in lines]
+    sizes = np.array([len(c) // 2 for c in codes])
+    of = np.repeat(np.arange(len(codes)), sizes)
+    h = _hashes(np.frombuffer(b"".join(codes), dtype="<u2"))
+    fits = of[: len(h)] == of[SHINGLE - 1 :]
+    return h[fits], of[: len(h)][fits]
 
 
 def near_lines(lines: DataFrame, known: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(node, component) of the different lines that a chain of similar ones joins to a smaller id.
 
-    Within a bucket of a band each line is compared with one representative, the smallest id, so that a
-    bucket of any size costs its own number of comparisons. Lines that are not similar to it meet
-    another representative among themselves, and so on.
+    Lines that share a bucket of a band are candidates, each pair of them (see similar_groups).
     """
-    members = known.select("id", F.posexplode("bands").alias("band", "key")).select("id", "key")
-    buckets = written(members.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-buckets")
-    left = written(members.join(buckets, "key").select("key", "id", "rep"), "lines-members")
-    needed = written(left.select("id").distinct(), "lines-needed")
-    texts = written(lines.join(needed, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm")), "lines-texts")
-    links = None
-    for _ in range(ROUNDS):
-        pairs = left.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
-        checked = written(_verified(pairs, texts, threshold), "lines-checked")
-        near = checked.where("near").select("u", "v")
-        links = near if links is None else links.unionByName(near)
-        far = checked.where("not near").select(F.col("u").alias("id"), F.col("v").alias("rep"))
-        if not far.limit(1).count():
-            return components(links, "lines-links")
-        rest = written(left.join(far, ["id", "rep"]).select("key", "id"), "lines-rest")
-        reps = written(rest.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-buckets")
-        left = written(rest.join(reps, "key").select("key", "id", "rep"), "lines-members")
-    other = left.select("key", F.col("id").alias("v"))
-    pairs = left.select("key", F.col("id").alias("u")).join(other, "key").where("u > v").select("u", "v").distinct()
-    near = written(_verified(pairs, texts, threshold), "lines-checked").where("near").select("u", "v")
-    return components(links.unionByName(near), "lines-links")
+    members = known.select(F.col("id").alias("node"), F.posexplode("bands").alias("band", "key")).select("key", "node")
+
+    def texts_of(needed: DataFrame) -> DataFrame:
+        return lines.join(needed, lines.id == needed.node, "left_semi").groupBy(F.col("id").alias("node")).agg(F.min("norm").alias("text"))
+
+    return similar_groups(members, texts_of, line_shingles, threshold, "lines")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
