@@ -42,11 +42,28 @@ def _units(line: str) -> bytes:
     return code if len(code) >= 2 * SHINGLE else code.ljust(2 * SHINGLE, b"\0")
 
 
+def _fill(least: np.ndarray, empty: np.ndarray, lines: list[str], block: int) -> None:
+    """Sets the empty bins of least (lines, bins) by MinHash with an independent hash for each bin; lines stay whole."""
+    some = np.flatnonzero(empty.any(axis=1))
+    ends = np.cumsum([len(lines[i]) for i in some])
+    group = (ends - 1) // block if len(some) else ends
+    for g in np.unique(group):
+        at = some[group == g]
+        h, of = line_shingles([lines[i] for i in at])
+        for k in range(empty.shape[1]):
+            if (here := empty[at, k]).any():
+                chosen = here[of]
+                x = (h[chosen] ^ (np.uint64(k + 1) * _FACTORS[2])) * _FACTORS[0]
+                x = (x ^ (x >> np.uint64(32))) * _FACTORS[1]
+                own = of[chosen]
+                least[at[here], k] = np.minimum.reduceat(x, np.flatnonzero(np.r_[True, own[1:] != own[:-1]]))
+
+
 def band_keys(lines: list[str], block: int = 1 << 16) -> np.ndarray:
     """(lines, BANDS) keys by one-permutation MinHash of the lines' shingles.
 
     A shingle's hash picks one of BANDS x ROWS bins and is a candidate for the bin's minimum. An empty bin takes
-    the minimum of all, hashed with the bin's number. Long lines are worked through in blocks, whole.
+    the minimum of all under a hash of its own, so that bins of a short line do not differ together. Long lines are worked through in blocks, whole.
     """
     bins, most = BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF)
     codes = [_units(x) for x in lines]
@@ -63,8 +80,7 @@ def band_keys(lines: list[str], block: int = 1 << 16) -> np.ndarray:
         np.minimum.at(least, of * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), h)
     least = least.reshape(-1, bins)
     with np.errstate(over="ignore"):
-        low = least.min(axis=1, keepdims=True)
-        least = np.where(least == most, (low + np.arange(1, bins + 1, dtype=np.uint64)) * _FACTORS[0], least)
+        _fill(least, least == most, lines, block)
         keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(least), axis=0)
         for r in range(ROWS):
             keys = (keys ^ least[:, r::ROWS]) * _FACTORS[1]

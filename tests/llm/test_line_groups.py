@@ -52,3 +52,16 @@ def test_groups_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(similar, "PART", 8)
     monkeypatch.setattr(similar, "PIVOTS", 2)
     assert grouped(spark, texts) == groups_by_hand(texts)
+
+
+def test_recall_of_bands_for_short_lines():
+    rng = random.Random(7)
+    for n, cut in ((25, 2), (43, 4), (70, 7)):
+        pairs = []
+        for _ in range(1500):
+            x = "".join(rng.choices("abcdefghijklmnop", k=n))
+            pairs += [x, x[:-cut] + "".join(rng.choices("qrstuvwxyz", k=cut))]
+        one, two = shingle_set(pairs[0]), shingle_set(pairs[1])
+        assert len(one & two) >= 0.8 * len(one | two)
+        keys = line_dedup.band_keys(pairs)
+        assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.99
