@@ -57,7 +57,7 @@ STAGES = [
     ("mixing", mixed_documents),
     ("packing", packed),
 ]
-#: The trained classifier, the fitted rates and the tokenizer are beyond SQL; tests hold the stages against plain Python.
+#: The trained classifier, the fitted rates and the tokenizer are beyond SQL. Tests hold near-dedup and line dedup against plain Python; of the other stages they check properties only, and not run().
 ORACLE_SQL = None
 
 

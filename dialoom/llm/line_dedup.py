@@ -141,7 +141,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lines = _lines(docs, id_col, text_col)
     known = written(signatures(lines), "lines-signatures")
-    found = near_lines(lines, known)
+    found = near_lines(lines, known, threshold)
     place = F.struct("doc", "th", "pos")
     many = written(known.join(found, known.id == found.node, "left").select("id", "n", F.coalesce("component", "id").alias("component"), place.alias("first")), "lines-groups")
     groups = written(many.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").drop("n"), "lines-keepers")

@@ -65,3 +65,12 @@ def test_recall_of_bands_for_short_lines():
         assert len(one & two) >= 0.8 * len(one | two)
         keys = line_dedup.band_keys(pairs)
         assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.99
+
+
+def test_line_dedup_equals_brute_force_at_its_threshold(spark):
+    texts = chains(8, 3, 12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold in (0.8, 0.95):
+        want = groups_by_hand(texts, threshold)
+        got = line_dedup.line_dedup(docs, threshold=threshold).where("n_removed = 0").collect()
+        assert sorted(r.doc_id for r in got) == sorted(set(want))
