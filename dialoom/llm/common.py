@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,18 +32,52 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/dialoom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def bounded(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """While it holds, an Arrow batch has so many rows and 16 MB at most, which bounds a Python worker's memory, and
+    a query's shuffle files go when it ends. Settings are put back afterwards."""
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+#: Working tables are read once or twice: little effort goes into their size. Most columns are hashes, for which a dictionary is vain.
+_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with bounded(spark, rows):
+        df.write.options(**_FILES).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def collected(df: DataFrame) -> list:
+    """The rows of a small report or model."""
+    with bounded(df.sparkSession):
+        return df.collect()
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the memory of a Python worker: a batch holds so many rows and 32 MB at most."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table._written
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -119,12 +154,14 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = written(links, name)
     while True:
-        parent = written(links.groupBy("u").agg(F.min("v").alias("p")), f"{name}-parent")
+        last, parent = links, written(links.groupBy("u").agg(F.min("v").alias("p")), f"{name}-parent")
         up = parent.select(F.col("u").alias("p"), F.col("p").alias("g"))
         jumped = parent.join(up, "p", "left").select("u", F.coalesce("g", "p").alias("v"), F.col("g").isNotNull().alias("moved"))
         others = links.join(parent, "u").where("v <> p").select(F.greatest("v", "p").alias("u"), F.least("v", "p").alias("v"), F.lit(True).alias("moved"))
         step = written(jumped.unionByName(others).groupBy("u", "v").agg(F.max("moved").alias("moved")), name)
+        discard(last, parent)
         links = step.select("u", "v")
+        links._written = step._written
         if not step.where("moved").limit(1).count():
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
@@ -135,5 +172,4 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm.bk_tree import Forest
-from dialoom.llm.common import arrow_map, components, dealt, local_components, run_ids, runs, utf8_of, written
+from dialoom.llm.common import arrow_map, components, dealt, discard, local_components, run_ids, runs, utf8_of, written
 
 #: Members of a part of a shard. A larger shard is dealt out in parts, and each pair of parts is a task of its own.
 PART = 512
@@ -38,6 +38,17 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def majority(h: np.ndarray, of: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Fingerprints, as signed longs, of texts from their shingles' hashes and the number of the text of each, in order."""
+    n = int(of[-1]) + 1
+    bits = np.zeros((n, 64), dtype=np.int64)
+    for at in range(0, len(h), block):
+        own = of[at : at + block]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        bits[own[first]] += np.add.reduceat(np.unpackbits(h[at : at + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), first, axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > np.bincount(of, minlength=n)[:, None], axis=1, bitorder="little").view("<i8").ravel()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. One pass, no exchange."""
 
@@ -113,6 +124,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     found = components(near_links(nodes.where("node is not null"), radius), "simhash-links")
     groups = written(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-groups")
+    discard(nodes)
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from dialoom.llm import line_dedup, similar
 
 
@@ -32,10 +34,11 @@ def chains(seed=5, templates=4, steps=25):
 
 
 def grouped(spark, texts):
-    """near_lines where all lines share one bucket."""
-    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, norm string")
-    known = lines.selectExpr("id", "array(1L) as bands")
-    label = {r.node: r.component for r in line_dedup.near_lines(lines, known).collect()}
+    """near_lines where all lines share the first bucket, and sketches leave all of them in."""
+    names = [f"b{k}" for k in range(line_dedup.BANDS)]
+    rows = [(i, t, *[1 if k == 0 else 0 for k in range(line_dedup.BANDS)]) for i, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "id long, norm string, " + ", ".join(f"{k} long" for k in names))
+    label = {r.node: r.component for r in line_dedup.near_lines(lines, lines.drop("norm")).collect()}
     return [label.get(i, i) for i in range(len(texts))]
 
 
@@ -63,8 +66,69 @@ def test_recall_of_bands_for_short_lines():
             pairs += [x, x[:-cut] + "".join(rng.choices("qrstuvwxyz", k=cut))]
         one, two = shingle_set(pairs[0]), shingle_set(pairs[1])
         assert len(one & two) >= 0.8 * len(one | two)
-        keys = line_dedup.band_keys(pairs)
-        assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.99
+        keys = line_dedup.bands(line_dedup.minima(pairs))
+        assert ((keys[::2] == keys[1::2]) & (keys[::2] != 0)).any(axis=1).mean() >= 0.99
+
+
+def test_sketches_of_similar_lines_are_promising():
+    rng = random.Random(9)
+    for n in (60, 150, 400):
+        pairs = []
+        while len(pairs) < 800:
+            x = rng.choices("abcdefghijklmnop", k=n)
+            y = list(x)
+            while True:
+                z = list(y)
+                z[rng.randrange(n)] = "q"
+                a, b = shingle_set("".join(x)), shingle_set("".join(z))
+                if len(a & b) < 0.8 * len(a | b):
+                    break
+                y = z
+            pairs += ["".join(x), "".join(y)]
+        s = line_dedup.bands(line_dedup.minima(pairs)).view("<u2")
+        assert similar._alike(s[::2], s[1::2], 0.8).all()
+
+
+def test_small_units_equal_matrices():
+    rng = random.Random(3)
+    lines = chains(11, 3, 4)
+    h, of = line_dedup.line_shingles(lines)
+    unit = np.repeat([0, 1, 2], 4)
+    i, j = similar.small_pairs(h, of, unit, 0.8)
+    every = np.arange(len(lines))
+    a, b = similar.similar_pairs(h, of, every, every, 0.8)
+    assert {(x, y) for x, y in zip(i.tolist(), j.tolist())} == {(x, y) for x, y in zip(a.tolist(), b.tolist()) if x < y and unit[x] == unit[y]}
+    assert rng and len(i)
+
+
+def drifting(seed, count=20, steps=40):
+    """Chains of lines of which each differs from the one before by a word."""
+    rng, out = random.Random(seed), []
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(400)]
+    for _ in range(count):
+        line = rng.choices(words, k=24)
+        for _ in range(steps):
+            out.append(" ".join(line))
+            line = list(line)
+            line[rng.randrange(len(line))] = rng.choice(words)
+    rng.shuffle(out)
+    return out
+
+
+def test_chains_lose_no_link(spark):
+    texts = drifting(21)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.line_dedup(docs).where("n_removed = 0").collect()}
+    want = set(groups_by_hand(texts))
+    assert want <= got and len(got - want) <= len(want) // 100
+
+
+def test_lines_that_share_an_id(spark):
+    rows = [(1, 5, 0, 7, 1, "one line"), (2, 6, 0, 7, 2, "another line"), (3, 7, 0, 7, 1, "one line")]
+    names = [f"b{k}" for k in range(line_dedup.BANDS)]
+    lines = spark.createDataFrame([(*r, *[r[4]] * line_dedup.BANDS) for r in rows], "doc long, th long, pos int, id long, other long, norm string, " + ", ".join(f"{k} long" for k in names))
+    table, known = line_dedup._told_apart(lines)
+    assert sorted(r.n for r in known.collect()) == [1, 2] and table.select("id").distinct().count() == 2
 
 
 def test_line_dedup_equals_brute_force_at_its_threshold(spark):

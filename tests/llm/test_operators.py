@@ -277,10 +277,11 @@ def test_passages(spark, monkeypatch):
     assert passages.remove_passages(table(spark, [])).count() == 0
 
 
-def test_band_keys_do_not_depend_on_blocks():
+def test_minima_do_not_depend_on_blocks(monkeypatch):
     lines = ["abc", "x" * 5000, "a line of some words, and others " * 40, "né " * 77, "12345678"]
-    whole = line_dedup.band_keys(lines)
-    assert (whole == line_dedup.band_keys(lines, block=64)).all()
-    assert (whole[2:4] == line_dedup.band_keys(lines[2:4])).all()
-    near = line_dedup.band_keys([lines[2], lines[2].replace("some", "many", 1)])
+    whole = line_dedup.minima(lines)
+    monkeypatch.setattr(line_dedup, "BLOCK", 64)
+    assert (whole == line_dedup.minima(lines)).all()
+    assert (whole[2:4] == line_dedup.minima(lines[2:4])).all()
+    near = line_dedup.bands(line_dedup.minima([lines[2], lines[2].replace("some", "many", 1)]))
     assert (near[0] == near[1]).any()
