@@ -32,9 +32,8 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def different_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id. Documents with a null doc_id stay."""
-    dropped = near_documents.near_documents(docs).select(F.col("doc_id").alias("id"), F.col("th").alias("hash"))
-    return docs.join(dropped, (docs.doc_id == F.col("id")) & (_text_hash() == F.col("hash")), "left_anti").select(COLUMNS)
+    """One row of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): that with the smallest doc_id; rows with a null doc_id come last."""
+    return near_documents.one_of_each(docs).select(COLUMNS)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
