@@ -90,6 +90,12 @@ def utf8_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def each_utf8(column: pa.Array) -> Iterator[bytes]:
+    """utf8_of, one at a time: only one text is held besides the batch."""
+    for text in column:
+        yield text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole runs of equal integer keys, from batches sorted by them."""
     rest: list[pa.RecordBatch] = []

@@ -6,6 +6,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dialoom.llm.common import work_path, written
 
@@ -33,14 +34,15 @@ class StreamingDedup:
     `resolve()` checks the whole bytes of every hit and gives one row per document.
 
     Null texts count as empty. Null doc_ids are smaller than any other. Rows with equal doc_id and
-    text are told apart by file and row; only one is kept. An empty folder gives no rows. Columns
+    text are told apart by file and row; only one is kept. A table without rows gives none; a folder without files needs `schema`. Texts of any length are compared whole. Columns
     other than those asked for are not read, whatever their names.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, bits: int = 256, schema=None):
         self.spark, self.path, self.id_col, self.text_col, self.bits = spark, path, id_col, text_col, bits
         self.at = checkpoint or work_path(spark, "dedup")
-        self.schema = schema or spark.read.parquet(path).schema
+        known = schema or spark.read.parquet(path).schema
+        self.schema = StructType([known[c] for c in dict.fromkeys((id_col, text_col))])  # a column named _metadata would hide the files' own
 
     def _rows(self, source: DataFrame) -> DataFrame:
         norm = ascii_lower(F.col(self.text_col))
@@ -81,7 +83,7 @@ class StreamingDedup:
         # The two are partly aggregated before any exchange, so a large group of copies sends one text per task.
         hits = rows.select("digest", "norm").join(state.where("n > 1").select("digest"), "digest").select(F.reverse("digest").alias("back"), "norm")
         torn = hits.groupBy("back").agg((F.min("norm") != F.max("norm")).alias("torn")).where("torn").select(F.reverse("back").alias("digest"))
-        torn = torn.persist()  # digests that differing texts share: none, unless SHA-256 is broken or cut short
+        torn = written(torn, "dedup-torn")  # digests that differing texts share: none, unless SHA-256 is broken or cut short
         flagged = rows.drop("norm").join(state, "digest")
         if torn.limit(1).count():
             whole = rows.join(torn, "digest")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_map, texts_of, written
+from dialoom.llm.common import arrow_map, collected, texts_of, written
 
 BUCKETS = 1 << 14
 
@@ -37,7 +37,7 @@ def _profiles(train: DataFrame, domains: list[str]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(counts[i, j])], names=["d", "b", "n"])
 
     n = np.full((len(domains), BUCKETS), 0.5)
-    for r in arrow_map(train.select("domain", "text"), run, "d long, b long, n long").groupBy("d", "b").agg(F.sum("n").alias("n")).collect():
+    for r in collected(arrow_map(train.select("domain", "text"), run, "d long, b long, n long").groupBy("d", "b").agg(F.sum("n").alias("n"))):
         n[r.d, r.b] += r.n
     return np.log(n / n.sum(axis=1, keepdims=True))
 
@@ -116,7 +116,7 @@ def fit_rates(member: DataFrame, domains: list[str], weights: dict[str, float] |
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k), k + 2)), pa.array(np.tile(np.arange(k + 2), k)), pa.array(total.ravel())], names=["i", "j", "v"])
 
         out = np.zeros((k, k + 2))
-        for r in arrow_map(member.select("tokens", "p"), run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        for r in collected(arrow_map(member.select("tokens", "p"), run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))):
             out[r.i, r.j] = r.v
         return out
 

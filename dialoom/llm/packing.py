@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_map, texts_of
+from dialoom.llm.common import arrow_map, texts_of, written
 from dialoom.llm.tokens import END_ID, TOKENIZER, encoder
 
 
@@ -68,8 +68,6 @@ class Packer:
                 self.sequence += 1
                 yield piece
             else:
-                if not self.cut and start:
-                    pass
                 if len(self.pieces) == self.most:
                     yield from self.fill()
                 self._put(piece, borne)
@@ -167,4 +165,4 @@ def pack(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", tex
         if out:
             yield batch()
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
+    return written(arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA), "packing-pieces")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm.column_bwt import repeated_suffixes
-from dialoom.llm.common import arrow_map, dealt, runs, utf8_of, written
+from dialoom.llm.common import arrow_map, dealt, discard, runs, utf8_of, written
 
 #: Windows in a segment at most, bytes looked at together, and members of a part of a shard.
 MOST, BLOCK, PART = 128, 1 << 21, 512
@@ -171,12 +171,13 @@ def repeated_ranges(texts: DataFrame, size: int = 200, gram: int = 80) -> DataFr
     share a key, one copy of each goes to the suffix order; a key with more than PART of them is cut into parts,
     and every two parts meet in a unit of their own.
     """
-    rows = _segment_rows(texts, size, gram)
+    rows = written(_segment_rows(texts, size, gram), "passages-windows")
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.max("twice").alias("twice"))
     live = written(keys.where("n > 1 or twice").select("key", ((F.col("low") != F.col("high")) | F.col("twice")).alias("mixed")), "passages-keys")
     place = F.shiftleft("start", 9).bitwiseOR(F.col("windows")).alias("place")  # windows are at most MOST
-    there = rows.select("key", "whole", "th", place).join(live, "key").groupBy("key", "whole", "th", "place", "mixed").agg(F.count(F.lit(1)).alias("n"))
-    there = written(there, "passages-segments")
+    met = written(rows.select("key", "whole", "th", place).join(live, "key"), "passages-met")  # apart from the counts, so that a common key's rows can be split
+    there = written(met.groupBy("key", "whole", "th", "place", "mixed").agg(F.count(F.lit(1)).alias("n")), "passages-segments")
+    discard(rows, met, live)
     different = written(there.groupBy("key", "whole", "mixed").agg(F.sum("n").alias("n"), F.min(F.struct("th", "place")).alias("one")), "passages-different")
     twice = different.where("n > 1").select("key", "whole", F.lit(0).cast("long").alias("a"), F.col("one.place").bitwiseAND(511).alias("b"))
 
@@ -198,6 +199,7 @@ def repeated_ranges(texts: DataFrame, size: int = 200, gram: int = 80) -> DataFr
     units = copies.join(sizes, "key").select("key", "whole", "bytes", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     units = units.select("key", "whole", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     marks = written(_compare(units, size).unionByName(twice).distinct(), "passages-marks")
+    discard(different, copies, sizes, lists)
     start = F.shiftright("place", 9)
     covered = there.select("key", "whole", "th", "place").join(marks, ["key", "whole"]).select("th", (start + F.col("a")).alias("a"), (start + F.col("b") + size - 1).alias("b"))
     return covered.groupBy("th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("ranges"))

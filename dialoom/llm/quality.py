@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_map, utf8_of, written
+from dialoom.llm.common import arrow_map, collected, discard, each_utf8, written
 
 STATISTICS = (
     "log_bytes", "log_words", "log_lines", "letters", "upper", "digits", "spaces", "line_ends", "stops", "commas", "exclaims", "symbols", "brackets", "non_ascii", "entropy",
@@ -26,6 +26,15 @@ _MASKS = np.array([np.isin(np.arange(256), np.frombuffer(c, np.uint8)) for c in
 _END = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?") | frozenset(range(128, 256))
 
 
+def _distinct_pairs(words: list[bytes], counts: Counter) -> int:
+    """How many different pairs of neighbours there are; in long texts as numbers, a block at a time, which take less room than tuples."""
+    if len(words) < 4096:
+        return len(set(zip(words, words[1:], strict=False)))
+    number = {w: k for k, w in enumerate(counts)}
+    ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+    return len(np.unique(ids[:-1] * len(number) + ids[1:]))
+
+
 def statistics(text: bytes) -> list[float]:
     """The STATISTICS of a whole text. Of an empty one: all zero."""
     if not text:
@@ -37,7 +46,7 @@ def statistics(text: bytes) -> list[float]:
     k = max(1, len(words))
     sizes = np.fromiter(map(len, words), dtype=np.float64, count=len(words)) if words else np.zeros(1)
     counts = Counter(words)
-    pairs = len(set(zip(words, words[1:], strict=False))) / max(1, len(words) - 1)
+    pairs = _distinct_pairs(words, counts) / max(1, len(words) - 1)
     return [
         math.log1p(n), math.log1p(len(words)), math.log1p(len(lines)), *(_MASKS @ share), float(-(there * np.log2(there)).sum()),
         float(sizes.mean()), float(sizes.std()), math.log1p(float(sizes.max())), len(counts) / k, max(counts.values(), default=0) / k, pairs,
@@ -51,7 +60,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t) for t in utf8_of(b.column(1))], dtype=np.float32).reshape(b.num_rows, -1)
+            x = np.array([statistics(t) for t in each_utf8(b.column(1))], dtype=np.float32).reshape(b.num_rows, -1)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS)).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), flat], names=["doc_id", "text_hash", "x"])
 
@@ -139,7 +148,7 @@ def fit(stats: DataFrame, labels: DataFrame, size: int = 256, width: float = 4.0
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([v.tobytes() for v in rows.values()], pa.binary())], names=["row", "part"])
 
     parts = arrow_map(train.where("not held").select("x", "y"), sums, "row long, part binary")
-    found = arrow_map(parts.repartition("row"), total, "row long, part binary").collect()
+    found = collected(arrow_map(parts.repartition("row"), total, "row long, part binary"))
     gram = np.zeros((size + 1, size + 2))
     for r in found:
         gram[r.row] = np.frombuffer(r.part)
@@ -156,7 +165,7 @@ def fit(stats: DataFrame, labels: DataFrame, size: int = 256, width: float = 4.0
             at = np.clip((s - low) / (high - low) * bins, 0, bins - 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(s), b.column(1)], names=["bin", "s", "y"])
 
-    held = arrow_map(train.where("held").select("x", "y"), score, "bin long, s double, y double").groupBy("bin").agg(F.avg("s").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).orderBy("bin").collect()
+    held = collected(arrow_map(train.where("held").select("x", "y"), score, "bin long, s double, y double").groupBy("bin").agg(F.avg("s").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).orderBy("bin"))
     if held:
         knots, values = isotonic(*(np.array([r[k] for r in held], dtype=np.float64) for k in ("s", "n", "p")))
     else:
@@ -185,10 +194,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """(doc_id, held_out, score, predicted, text_hash) for every row of docs.
 
     Labels are read only for rows outside the held-out fold (crc32 of doc_id mod 3 is 1). Null texts count
-    as empty; empty texts are scored like any other. Rows that repeat are each returned. Without usable
-    labels every score is 0.5. Columns other than the two named are not read.
+    as empty; empty texts are scored like any other, and long texts whole, one at a time. Rows that repeat are each
+    returned. A doc_id that is labelled more than once counts with each of its labels; labels other than
+    0 and 1, and null ones, do not count. Without usable labels every score is 0.5; an empty table gives no rows. Columns other than the two
+    named are not read, whatever their names.
     """
-    stats = written(document_statistics(docs, id_col, text_col), "quality-stats")
-    seen = labels.where(~in_fold(F.col("doc_id"), 3, 1)).select("doc_id", F.col("quality").alias("y"))
-    scored = score(stats, fit(stats, seen))
+    stats = written(document_statistics(docs, id_col, text_col), "quality-stats", 100)
+    seen = labels.where(~in_fold(F.col("doc_id"), 3, 1) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("y"))
+    scored = written(score(stats, fit(stats, seen)), "quality-scores", 10_000)
+    discard(stats)
     return scored.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_hash")

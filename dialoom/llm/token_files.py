@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_map, texts_of, work_path
+from dialoom.llm.common import arrow_map, bounded, discard, texts_of, work_path, written
 from dialoom.llm.tokens import END_ID, TOKENIZER, encoder
 
 
@@ -132,18 +132,18 @@ def sequences(docs: DataFrame, tokens: int, width: int, id_col: str = "doc_id",
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SEQUENCE_SCHEMA)
 
 
-def materialise(docs: DataFrame, path: str, key: int, tokens: int = 2048, width: int = 2, shard_sequences: int = 4096, **columns: str) -> tuple[Layout, DataFrame]:
+def materialise(docs: DataFrame, path: str, key: int, tokens: int = 2048, width: int = 2, shard_sequences: int = 4096, ranges: int = 2, **columns: str) -> tuple[Layout, DataFrame]:
     """Writes shards under path/shard=<k>/ and returns their layout and a row for each sequence.
 
     The sequences are written once to the shared folder, so that the permutation is over what is
     there whatever executor is lost. Each partition's number of sequences gives a dense index; the
     permutation gives its slot; a shard holds `shard_sequences` consecutive slots and is one task.
-    Null texts count as empty; an empty table writes no shard.
+    Shards are written in `ranges` ranges of slots, each with a shuffle of its own, whose files go before the next; the staged
+    records go in the end. Null texts count as empty; an empty table writes no shard. Rows that repeat are each written.
+    A text of any length is written whole. Other columns are not read, whatever their names. What is at `path` is replaced.
     """
     spark = docs.sparkSession
-    stage = work_path(spark, "sequences")
-    sequences(docs, tokens, width, **columns).write.option("compression", "zstd").parquet(stage)
-    made = spark.read.schema(SEQUENCE_SCHEMA).parquet(stage)
+    made = written(sequences(docs, tokens, width, **columns), "sequences", 200)
     counts = {r.part: r.n for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
     before, total = {}, 0
     for part in sorted(counts):
@@ -161,11 +161,18 @@ def materialise(docs: DataFrame, path: str, key: int, tokens: int = 2048, width:
 
     placed = made.withColumn("to", place("part", "at")).select("to.index", "to.slot", "n_tokens", "crc32", "doc_ids", "record")
     shard = F.floor(F.col("slot") / shard_sequences).cast("int")
+    rows = placed.drop("record").withColumn("shard", shard).withColumn("offset", F.col("slot") % shard_sequences * layout.stride)
+    rows = written(rows, "sequence-rows")
     shards = max(1, -(-total // shard_sequences))
     # Without its last byte, a zero that the writer puts there as the line's end.
     lines = placed.select(F.expr("cast(substring(record, 1, length(record) - 1) as string)").alias("value"), "slot", shard.alias("shard"))
-    lines.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot").select("value", "shard").write.partitionBy("shard").option("lineSep", "\0").mode("overwrite").text(path)
-    rows = placed.drop("record").withColumn("shard", shard).withColumn("offset", F.col("slot") % shard_sequences * layout.stride)
+    edges = sorted({shards * r // ranges for r in range(ranges + 1)})
+    with bounded(spark):
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            some = lines.where((F.col("shard") >= low) & (F.col("shard") < high)).withColumn("shard", F.col("shard") - low)
+            some = some.repartitionById(high - low, F.col("shard")).withColumn("shard", F.col("shard") + low).sortWithinPartitions("shard", "slot")
+            some.select("value", "shard").write.partitionBy("shard").option("lineSep", "\0").mode("append" if low else "overwrite").text(path)
+    discard(made)
     return layout, rows
 
 

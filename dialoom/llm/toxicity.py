@@ -6,25 +6,28 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_map, texts_of, written
+from dialoom.llm.common import arrow_map, collected, discard, texts_of, written
 from dialoom.llm.quality import in_fold
 
 #: Symbols of the language model: 0 is the boundary, 1-26 are letters, 27 is any other letter.
 SYMBOLS = 28
 ORDER = 4
+#: Parts of the labelled rows; a part's features come from a lexicon of the others.
+FOLDS = 5
 #: Which letters a character can stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Log-probabilities of the channel.
 SUBSTITUTED, DROPPED, BOUNDARY, SHORTENED = math.log(0.2), math.log(0.3), math.log(0.2), math.log(0.4)
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
-_RUN = re.compile(r"(.)\1\1")
+_RUN, _TWICE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1+")
 #: Three or more single characters, one after the other.
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S(?!\S)){2,}")
 
@@ -69,7 +72,7 @@ def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def language_model(counts: DataFrame) -> np.ndarray:
     """log p(symbol | the three before), backed off to shorter contexts; at most SYMBOLS**ORDER rows reach the driver."""
     found = np.zeros(SYMBOLS**ORDER)
-    for r in counts.collect():
+    for r in collected(counts):
         found[r.code] = r.n
     n = found.reshape((SYMBOLS,) * ORDER)
     p = np.full(SYMBOLS, 1 / SYMBOLS)
@@ -83,67 +86,93 @@ def _letter(c: str) -> int:
     return int(TABLE[ord(c)]) if ord(c) < 0x250 else 27 if c.isalpha() else 0
 
 
-def decode(token: str, model: np.ndarray, beam: int = 24) -> str:
-    """The likeliest words behind a token: Viterbi over the lattice of what each character can be.
+@lru_cache(1 << 16)
+def _arcs(c: str, run: int) -> tuple[tuple[float, tuple[tuple[str, int], ...]], ...]:
+    """What a run of a character can be: (log-probability, letters with their symbols), a boundary as a space."""
+    s = _letter(c)
+    if s and run == 1:
+        found = [(0.0, c)]
+    elif s:
+        found = [(SHORTENED if run > 2 else math.log(0.9), c * min(run, 2)), (SHORTENED, c)]
+    else:
+        found = [(DROPPED, ""), (BOUNDARY, " "), *((SUBSTITUTED, x) for x in LEET.get(c, ""))]
+        if run > 1:
+            found += [(SUBSTITUTED + SHORTENED, x * 2) for x in LEET.get(c, "")]
+    return tuple((cost, tuple((x, 0 if x == " " else _letter(x)) for x in text)) for cost, text in found)
+
+
+def decode(token: str, model: Sequence[float]) -> str:
+    """The likeliest words behind a token: Viterbi over the lattice of what each character can be; exact.
 
     A letter is itself; a run of a letter can be one or two; a digit or sign can be a letter it resembles,
     nothing, or the end of a word; a space can be nothing or the end of a word. States are the last
-    three symbols; the best `beam` of them go on.
+    three symbols, all of them are kept, each with a pointer to what was before. What lies before the last point at
+    which one state is left is settled and put out, so time and room grow as the token's length.
     """
-    states = {(0, 0, 0): (0.0, "")}
-    i = 0
-    while i < len(token):
+    cube = SYMBOLS**3
+    settled: list[str] = []
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    i, n = 0, len(token)
+    while i < n:
         c, j = token[i], i + 1
-        while j < len(token) and token[j] == c:
+        while j < n and token[j] == c:
             j += 1
-        run, arcs = j - i, []
-        s = _letter(c)
-        if s:
-            arcs = [(c, 0.0)] if run == 1 else [(c * min(run, 2), SHORTENED if run > 2 else math.log(0.9)), (c, SHORTENED)]
-        else:
-            arcs = [("", DROPPED), (" ", BOUNDARY), *((x, SUBSTITUTED) for x in LEET.get(c, ""))]
-            if run > 1:
-                arcs += [(x * 2, SUBSTITUTED + SHORTENED) for x in LEET.get(c, "")]
-        new: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for state, (score, out) in states.items():
-            for text, cost in arcs:
-                a, sum_, made = state, score + cost, out
-                for x in text:
-                    y = 0 if x == " " else _letter(x)
-                    if not y and not a[2]:
-                        continue
-                    sum_ += float(model[((a[0] * SYMBOLS + a[1]) * SYMBOLS + a[2]) * SYMBOLS + y])
-                    a, made = (a[1], a[2], y), made + x
-                if a not in new or new[a][0] < sum_:
-                    new[a] = (sum_, made)
-        states = new if len(new) <= beam else dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:beam])
-        i = j
-    ends = ((score + (float(model[((a[0] * SYMBOLS + a[1]) * SYMBOLS + a[2]) * SYMBOLS]) if a[2] else 0.0), out) for a, (score, out) in states.items())
-    return max(ends)[1].strip()
+        arcs = _arcs(c, min(j - i, 3))
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, path) in states.items():
+            for cost, letters in arcs:
+                at, total, way = state, score + cost, path
+                for x, y in letters:
+                    if y or at % SYMBOLS:  # no boundary after a boundary
+                        at = at * SYMBOLS + y
+                        total += model[at]
+                        at %= cube
+                        way = (way, x)
+                if (found := new.get(at)) is None or found[0] < total:
+                    new[at] = (total, way)
+        if len(new) == 1:
+            ((at, (_, path)),) = new.items()
+            settled.append(_spelled(path))
+            new = {at: (0.0, None)}
+        states, i = new, j
+    best = max((score + (model[at * SYMBOLS] if at % SYMBOLS else 0.0), _spelled(path)) for at, (score, path) in states.items())
+    return "".join([*settled, best[1]]).strip()
+
+
+def _spelled(path: tuple | None) -> str:
+    out = []
+    while path is not None:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def terms(word: str) -> list[str]:
-    """What the lexicon knows of a word: itself, and its beginnings of four to six letters."""
-    return [word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) >= k)]
+    """What the lexicon knows of a word: itself, and its beginnings of five to eight letters."""
+    return [word, *(f"{word[:k]}*" for k in (5, 6, 7, 8) if len(word) >= k)]
 
 
 class Reader:
-    """Words of a text as written, and as decoded where a token looks disguised. Remembers tokens, up to a bound."""
+    """Words of a text as written, and as decoded where a token looks disguised: one with a sign, a digit or a letter three times in a row.
+
+    A word with letters twice in a row is also read with each of them once; the lexicon learns such readings too.
+    """
 
-    def __init__(self, model: np.ndarray, most: int = 300_000):
-        self.model, self.most, self.known = model, most, {}
+    def __init__(self, model: np.ndarray):
+        self.model = model.tolist()
 
     def words(self, token: str) -> list[str]:
         core = _TRIM.sub("", token)
         if core.isalpha() and not _RUN.search(core):
             # Leading and trailing signs may belong to the word: '$cum'.
-            return [core] if core == token or not any(c in LEET for c in token) else [core, *decode(token, self.model).split()]
+            own = [core, once] if (once := _TWICE.sub(r"\1", core)) != core else [core]
+            return own if core == token or not any(c in LEET for c in token) else [*own, *decode(token, self.model).split()]
         if not any(map(str.isalpha, token)) and not any(c in LEET for c in token):
             return []
         return list(dict.fromkeys([core, *decode(token, self.model).split()]))
 
     def spaced(self, text: str) -> list[str]:
-        return [w for m in _SPACED.finditer(text) for w in decode(m[0], self.model).split() if len(w) > 2]
+        return [w for m in _SPACED.finditer(text) for w in decode(m[0], self.model).split()]
 
 
 class Scorer:
@@ -172,27 +201,65 @@ class Scorer:
         return (max(found), math.log1p(sum(found))) if found else (0.0, 0.0)
 
 
-def _count(rows: DataFrame, model: np.ndarray, only: frozenset[str] | None) -> Counter:
-    """In how many texts each term occurs; the sample that was taken bounds what reaches the driver."""
+def _term_sets(batches: Iterator[pa.RecordBatch], model: np.ndarray, only: frozenset[str] | None) -> Iterator[tuple[int, int, set[str]]]:
+    """(fold, y, terms) of each text of (fold, y, text); only the terms asked for."""
+    reader, known = Reader(model), {}
+    asked = (lambda word: terms(word)) if only is None else (lambda word: [t for t in terms(word) if t in only])  # noqa: PLW0108
+    for b in batches:
+        for fold, y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
+            low, seen = text.lower(), set()
+            for token in set(low.split()):
+                if (t := known.get(token)) is None:
+                    if len(known) > 300_000:
+                        known.clear()
+                    t = known[token] = tuple(x for w in reader.words(token) for x in asked(w))
+                seen.update(t)
+            for w in reader.spaced(low):
+                seen.update(asked(w))
+            yield fold, y, seen
+
+
+def _common(rows: DataFrame, model: np.ndarray, least: int = 3) -> frozenset[str]:
+    """The terms that so many texts of rows(fold, y, text) have; bounded, as the rows are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts, known = Reader(model), Counter(), {}
-        for b in batches:
-            for text in texts_of(b.column(0)):
-                low, seen = text.lower(), set()
-                for token in set(low.split()):
-                    if (t := known.get(token)) is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        t = known[token] = [x for w in reader.words(token) for x in terms(w) if only is None or x in only]
-                    seen.update(t)
-                for w in reader.spaced(low):
-                    seen.update(x for x in terms(w) if only is None or x in only)
-                counts.update(seen)
+        counts: Counter = Counter()
+        for _, _, seen in _term_sets(batches, model, None):
+            counts.update(seen)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
-    total = arrow_map(rows.select("text"), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return Counter({r.term: r.n for r in total.where("n >= 3" if only is None else "n > 0").collect()})
+    return frozenset(r.term for r in collected(arrow_map(rows, run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
+
+
+def _counts(rows: DataFrame, model: np.ndarray, only: frozenset[str]) -> dict[str, np.ndarray]:
+    """In how many toxic and other texts, by fold, each of the terms occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int], Counter] = {}
+        for fold, y, seen in _term_sets(batches, model, only):
+            counts.setdefault((fold, y), Counter()).update(seen)
+        for (fold, y), c in counts.items():
+            columns = ([*c], [fold] * len(c), [1 - y] * len(c), [*c.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["term", "fold", "row", "n"])
+
+    found: dict[str, np.ndarray] = {}
+    for r in collected(arrow_map(rows, run, "term string, fold long, row long, n long").groupBy("term", "fold", "row").agg(F.sum("n").alias("n"))):
+        found.setdefault(r.term, np.zeros((2, FOLDS)))[r.row, r.fold] = r.n
+    return found
+
+
+def _lexicon(counts: dict[str, np.ndarray], sizes: np.ndarray, without: int | None) -> dict[str, float]:
+    """Weights of telling terms; counts and sizes have toxic and other texts by fold, of which one can be left out."""
+    use = [k for k in range(FOLDS) if k != without]
+    n = sizes[:, use].sum(axis=1)
+    out = {}
+    for term, by_fold in counts.items():
+        bad, good = by_fold[:, use].sum(axis=1)
+        if bad >= 3:
+            odds = math.log((bad + 0.1) / (n[0] + 0.2)) - math.log((good + 0.1) / (n[1] + 0.2))
+            if odds > 3.0:
+                out[term] = odds * math.log1p(bad)  # evidence: how telling, and from how many texts
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -210,41 +277,52 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     The character model counts all texts. The lexicon and the final logistic regression are fitted on
     about `fit_rows` labelled rows outside the held-out fold (crc32 of doc_id mod 5 is 0), chosen by a hash;
-    all of them are used where there are fewer. One half gives the terms' weights, the other the
-    regression. Null texts count as empty and are scored like any other. Rows that repeat are each
-    returned. Without labelled rows of both kinds every score is 0. Other columns are not read.
+    all of them are used where there are fewer. The regression learns from each row's features under a lexicon of
+    the other folds' rows; scores use the lexicon of all. Null texts count as empty and are scored like any other, and long texts and
+    words whole. Rows that repeat are each returned. A doc_id that is labelled more than once counts with each of its labels; labels other than 0 and 1, and
+    null ones, do not count. Without labelled rows of both kinds every score is 0; an empty table gives no rows. Other columns are
+    not read, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = language_model(ngram_counts(docs))
-    seen = labels.where(~in_fold(F.col("doc_id"), 5, 0)).where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").alias("y"))
+    seen = labels.where(~in_fold(F.col("doc_id"), 5, 0) & F.col("toxic").isin(0, 1)).where("doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("y"))
     n = seen.count()
     of = 1_000_000
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(of))
-    chosen = seen.where(draw < of * min(1.0, fit_rows / max(n, 1))).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)))
+    chosen = seen.where(draw < of * min(1.0, fit_rows / max(n, 1))).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(FOLDS)))
     train = written(docs.join(chosen, "doc_id"), "toxicity-train")
-    first = train.where("half = 0")
-    sizes = {r.y: r.n for r in first.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    lexicon: dict[str, float] = {}
-    if sizes.get(1) and sizes.get(0):
-        bad = _count(first.where("y = 1"), model, None)
-        good = _count(first.where("y = 0"), model, frozenset(bad))
-        for t, k in bad.items():
-            odds = math.log((k + 0.1) / (sizes[1] + 0.2)) - math.log((good[t] + 0.1) / (sizes[0] + 0.2))
-            if odds > 2.0:
-                lexicon[t] = odds * math.log1p(k)  # evidence: how telling, and from how many texts
-    shared = docs.sparkSession.sparkContext.broadcast((model, lexicon))  # the lexicon is bounded by fit_rows
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
-        for b in batches:
-            x = np.array([scorer.features(t) for t in texts_of(b.column(1))]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["id", "most", "all"])
-
-    fitted = arrow_map(train.where("half = 1").select(F.col("y").cast("long"), "text"), features, "id long, most double, all double").collect()
+    sizes = np.zeros((2, FOLDS))
+    for r in train.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[1 - r.y, r.fold] = r.n
+    lexica: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
+    if sizes.sum(axis=1).all():
+        rows = train.select("fold", F.col("y").cast("long"), "text")
+        counts = _counts(rows, model, _common(rows.where("y = 1"), model))
+        lexica = [_lexicon(counts, sizes, k) for k in [*range(FOLDS), None]]
+    shared = docs.sparkSession.sparkContext.broadcast((model, lexica))
+
+    def features(of_fold: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, lexica = shared.value
+            scorers: dict[int, Scorer] = {}
+            for b in batches:
+                x = np.zeros((b.num_rows, 2))
+                folds = b.column(2).to_pylist() if of_fold else [FOLDS] * b.num_rows
+                for k, (fold, text) in enumerate(zip(folds, texts_of(b.column(1)), strict=True)):
+                    if fold not in scorers:
+                        scorers[fold] = Scorer(model, lexica[fold])
+                    x[k] = scorers[fold].features(text)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["id", "most", "all"])
+
+        return run
+
+    schema = "id long, most double, all double"
+    fitted = collected(arrow_map(train.select(F.col("y").cast("long"), "text", "fold"), features(True), schema)) if lexica[-1] else []
     y = np.array([r[0] for r in fitted], dtype=np.float64)
     held = in_fold(F.col("doc_id"), 5, 0)
-    scored = arrow_map(docs, features, "id long, most double, all double").withColumnRenamed("id", "doc_id")
-    if lexicon and 0 < y.sum() < len(y):
+    scored = written(arrow_map(docs, features(False), schema), "toxicity-features", 200).withColumnRenamed("id", "doc_id")
+    discard(train)
+    if 0 < y.sum() < len(y):
         a, b, c = (float(v) for v in _logistic(np.array([[r[1], r[2]] for r in fitted]), y))
         score = 1 / (1 + F.exp(-(F.col("most") * a + F.col("all") * b + c)))
     else:

@@ -1,6 +1,8 @@
 import hashlib
+import time
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -189,6 +191,39 @@ def test_toxicity(spark):
     assert len(odd) == len(ODD) and {r.score for r in odd} == {0.0}
 
 
+def likeliest(token, model):
+    """The best reading of a token by trying all of them."""
+    runs, i = [], 0
+    while i < len(token):
+        j = i + 1
+        while j < len(token) and token[j] == token[i]:
+            j += 1
+        runs.append((token[i], j - i))
+        i = j
+    best = (-np.inf, "")
+    for way in product(*[toxicity._arcs(c, min(n, 3)) for c, n in runs]):
+        state, total, text = 0, 0.0, ""
+        for cost, letters in way:
+            total += cost
+            for x, y in letters:
+                if y or state % 28:
+                    total += model[state * 28 + y]
+                    state, text = (state * 28 + y) % 28**3, text + x
+        best = max(best, (total + (model[state * 28] if state % 28 else 0.0), text))
+    return best
+
+
+def test_decode_is_exact():
+    rng = np.random.default_rng(6)
+    model = np.log(rng.dirichlet(np.full(28, 0.3), 28**3).ravel() + 1e-6).tolist()
+    for _ in range(60):
+        token = "".join(rng.choice(list("aabce013$ .@"), int(rng.integers(1, 8))))
+        assert toxicity.decode(token, model) == likeliest(token, model)[1].strip()
+    began = time.time()
+    long = toxicity.decode("ab3cdefgh" * 600_000, model)
+    assert len(long) > 4_000_000 and time.time() - began < 120
+
+
 def test_mixing(spark):
     a, b = "abcd efgh", "wxyz uvst"
     rows = [(i, " ".join([a if i % 4 else b] * (1 + i % 7))) for i in range(400)] + ODD
