@@ -2,6 +2,7 @@ import hashlib
 import time
 import zlib
 from collections import Counter
+from dataclasses import replace
 from itertools import product
 
 import numpy as np
@@ -250,18 +251,28 @@ def test_embeddings(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([unit(rng, 300), unit(rng, 1) + 0.05 * rng.normal(size=(150, 16)), np.repeat(unit(rng, 1), 20, axis=0)]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, []), (1004, [1.0]), (1005, [None] * 16)]
-    v = spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id long, embedding array<float>, label int")
-    s = embedding_dedup.Settings(neighbours=8, largest=16, block=64, chunk=100)
+    v = spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id long, embedding array<float>, node int")
+    s = embedding_dedup.Settings(neighbours=8, largest=16, block=64, chunk=100, recall=1.0)
     got, report = embedding_dedup.near_vectors(v, s=s)
     got = {r.vec_id: r for r in got.collect()}
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = (y @ y.T) >= 0.9
     label = brute_components(len(x), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a > b])
     assert report["recall"] >= 0.98 and len(got) == len(rows)
-    assert np.mean([got[i].n_links == near[i].sum() - 1 for i in range(len(x))]) > 0.98
-    assert np.mean([got[i].component_id == label[i] for i in range(len(x))]) > 0.98
+    assert all(got[i].n_links == near[i].sum() - 1 and got[i].component_id == label[i] for i in range(len(x)))
     assert all(got[i].n_links == 0 and got[i].kept for i, _ in rows[len(x) :])
     assert embedding_dedup.embedding_query(v.limit(0)).count() == 0
+    low, report = embedding_dedup.near_vectors(v, s=replace(s, rounds=1, most_rounds=1, recall=1.01))  # out of reach: all are searched exactly
+    assert report["searched"] > 400 and {r.vec_id: r.n_links for r in low.collect()} == {i: r.n_links for i, r in got.items()}
+
+
+def test_double_embeddings(spark):
+    """Cosines next to the threshold, other lengths, null and repeated ids."""
+    angle = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(1, [1.0, 0.0]), (2, angle(0.9 + 1e-9)), (3, [0.0, 1.0]), (4, [-angle(0.9 - 1e-9)[1], -angle(0.9 - 1e-9)[0]]), (4, [5.0, 0.0, 0.0]), (6, [1.0, 0.0, 0.0]), (7, [2.0, 0.0]), (None, [1.0, 0.0]), (8, [0.0, -1.0])]
+    v = spark.createDataFrame([(i, e, "x", 2) for i, e in rows], "vec_id long, embedding array<double>, vec string, m int")
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(v)[0].collect())
+    assert got == Counter([(1, 2, 1), (2, 2, 1), (7, 2, 1), (3, 0, 3), (4, 0, 4), (4, 1, 4), (6, 1, 4), (8, 0, 8), (None, 0, None)])
 
 
 def test_lines(spark):
