@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +79,10 @@ def _start(nodes: DataFrame, n: int, s: Settings) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, held, last = s.block // 2, None, None  # blocks overlap by half; of what was read, less than a block waits
         for batch in batches:
-            for table in runs(iter([batch]), ["t"]) if batch.num_rows else ():
-                t, ids, x = table.column("t")[0].as_py(), table.column("node").to_numpy(), _unit(_vectors(table.column("vec"), table.num_rows, s))
+            of = batch.column("t").to_numpy()
+            for low, high in pairwise([*np.flatnonzero(np.r_[True, of[1:] != of[:-1]]).tolist(), len(of)] if len(of) else []):
+                part = batch.slice(low, high - low)
+                t, ids, x = of[low], part.column("node").to_numpy(), _unit(_vectors(part.column("vec"), part.num_rows, s))
                 if held is not None and t != last:
                     yield from _best(*held, s.neighbours)
                     held = None
