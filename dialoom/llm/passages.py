@@ -125,11 +125,44 @@ def _segment_rows(texts: DataFrame, size: int, gram: int) -> DataFrame:
     return arrow_map(texts.select("th", "text"), run, SEGMENT)
 
 
-def _compare(parts: DataFrame, size: int, most: int = 1 << 17) -> DataFrame:
+def may_repeat(strings: list[bytes], keys: np.ndarray, size: int, gram: int, hashes: _Hashes) -> np.ndarray:
+    """Which segments can have a window in common with another of the same key. Exact: it rules out only what cannot.
+
+    Equal windows hold the key's string at the same offset, so what is beside it reaches half of the window's other bytes
+    to the left or to the right: one of these two sides must be there in another segment. Where a key's string stands in a
+    segment more than once, all segments of the key stay.
+    """
+    side = (size - gram) // 2
+    sizes = np.array([len(x) for x in strings])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    sums = hashes.sums(data, 0)
+    at = np.arange(len(data) - gram + 1)
+    of = np.repeat(np.arange(len(strings)), sizes)[: len(at)]
+    fits = at + gram <= ends[of]
+    at, of = at[fits], of[fits]
+    h = hashes.of(sums, at, at + gram, 0)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    least = np.flatnonzero(h == np.minimum.reduceat(h, first)[of])
+    times = np.bincount(of[least], minlength=len(strings))
+    place = at[least[np.r_[True, of[least][1:] != of[least][:-1]]]]
+    stay = np.isin(keys, keys[times > 1])
+    with np.errstate(over="ignore"):
+        own = _mix(keys.view(np.uint64))
+    for low, high in ((place - side, place), (place + gram, place + gram + side)):
+        there = np.flatnonzero((low >= ends - sizes) & (high <= ends))
+        x = hashes.of(sums, low[there], high[there], 0) ^ own[there]
+        _, number, count = np.unique(x, return_inverse=True, return_counts=True)
+        stay[there[count[number] > 1]] = True
+    return stay
+
+
+def _compare(parts: DataFrame, size: int, gram: int, most: int = 1 << 17) -> DataFrame:
     """(key, whole, a, b): runs of windows of a segment that occur elsewhere in its unit, by the suffix order of the unit's segments."""
     keys = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes(BLOCK)
         for t in runs(batches, keys):
             # Whole units together, up to about `most` bytes: equal windows have equal keys, so strangers do no harm.
             cells = [t.column(k).to_numpy() for k in keys]
@@ -142,16 +175,19 @@ def _compare(parts: DataFrame, size: int, most: int = 1 << 17) -> DataFrame:
             for k, edge in enumerate(edges):
                 if k + 1 < len(edges) and total[edges[k + 1]] - total[start] <= most:
                     continue
-                yield from compared(t.slice(start, edge - start), data[start:edge])
+                yield from compared(t.slice(start, edge - start), data[start:edge], hashes)
                 start = edge
 
-    def compared(t: pa.Table, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def compared(t: pa.Table, data: list[bytes], hashes: _Hashes) -> Iterator[pa.RecordBatch]:
         # A segment of a shard in parts is in several units; two units in one collection may hold the same segment.
         ids = list(zip(t.column("key").to_pylist(), t.column("whole").to_pylist(), strict=True))
         seen: dict[tuple[int, int], int] = {}
         for k, x in enumerate(ids):
             seen.setdefault(x, k)
         chosen = list(seen.values())
+        if sum(len(data[k]) for k in chosen) < BLOCK:
+            stay = may_repeat([data[k] for k in chosen], np.array([ids[k][0] for k in chosen]), size, gram, hashes)
+            chosen = [k for k, x in zip(chosen, stay.tolist(), strict=True) if x]
         flags = repeated_suffixes([data[k] for k in chosen], size)
         offsets = np.concatenate(([0], np.cumsum([len(data[k]) for k in chosen])))
         edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
@@ -198,7 +234,7 @@ def repeated_ranges(texts: DataFrame, size: int = 200, gram: int = 80) -> DataFr
     own = F.pmod(F.xxhash64("whole", F.lit(3)), parts).cast("int")
     units = copies.join(sizes, "key").select("key", "whole", "bytes", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     units = units.select("key", "whole", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    marks = written(_compare(units, size).unionByName(twice).distinct(), "passages-marks")
+    marks = written(_compare(units, size, gram).unionByName(twice).distinct(), "passages-marks")
     discard(different, copies, sizes, lists)
     start = F.shiftright("place", 9)
     covered = there.select("key", "whole", "th", "place").join(marks, ["key", "whole"]).select("th", (start + F.col("a")).alias("a"), (start + F.col("b") + size - 1).alias("b"))
