@@ -52,7 +52,7 @@ def bounded(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
 
 
 #: Working tables are read once or twice: little effort goes into their size. Most columns are hashes, for which a dictionary is vain.
-_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}
+_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20)}
 
 
 def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:

@@ -37,7 +37,7 @@ class Encoder:
     encoded together and told apart by the white space that each starts with, and no other token does.
     """
 
-    def __init__(self, name: str = TOKENIZER, most: int = 600_000):
+    def __init__(self, name: str = TOKENIZER, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
