@@ -14,15 +14,30 @@ from pyspark.sql.types import StringType
 @lru_cache(1)
 def _accents() -> tuple[str, str]:
     """Characters of the basic plane that lose a mark and stay one character, and what they become."""
-    pairs = [(c, "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")) for c in map(chr, range(0x80, 0xD800))]
+    plane = map(chr, [*range(0x80, 0xAC00), *range(0xE000, 0x10000)])
+    pairs = [(c, "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")) for c in plane]
     pairs = [(c, d) for c, d in pairs if len(d) == 1 and c != d]
     return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
 
 
+def _jamo(text: Column) -> Column:
+    """Hangul syllables as their letters, by the arithmetic of their code points: 19 x 21 x 28 from U+AC00."""
+    letters = lambda start, n: F.array(*[F.lit(chr(start + k)) for k in range(n)])
+    ends = F.array(F.lit(""), *[F.lit(chr(0x11A8 + k)) for k in range(27)])
+
+    def spelled(c: Column) -> Column:
+        k = F.ascii(c) - 0xAC00
+        pick = lambda of, i: F.element_at(of, (i + 1).cast("int"))
+        return F.when((k >= 0) & (k < 11172), F.concat(pick(letters(0x1100, 19), F.floor(k / 588)), pick(letters(0x1161, 21), F.floor(k % 588 / 28)), pick(ends, k % 28))).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), spelled), "")
+
+
 def fold(text: Column) -> Column:
-    """Lower case, then accents dropped. Stays in the JVM; see fold_exact for Hangul and other characters that decompose into several."""
+    """Lower case, then accents dropped, as fold_text does. Stays in the JVM; only texts with Hangul are taken apart by character."""
     source, target = _accents()
-    return F.regexp_replace(F.translate(F.lower(text), source, target), r"\p{Mn}+", "")
+    plain = F.regexp_replace(F.translate(F.lower(text), source, target), r"\p{Mn}+", "")
+    return F.when(plain.rlike("[\uac00-\ud7a3]"), _jamo(plain)).otherwise(plain)
 
 
 def fold_text(text: str) -> str:
@@ -30,11 +45,6 @@ def fold_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
 
 
-@F.pandas_udf(StringType())
-def fold_exact(text: pd.Series) -> pd.Series:
-    return text.map(fold_text, na_action="ignore")
-
-
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")

@@ -28,6 +28,15 @@ def retrieval_summary(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 4).alias(n) for c, n in (("recall", "recall"), ("precision", "precision"), ("reciprocal_rank", "mrr"), ("ndcg", "ndcg"))])
 
 
+def retrieval_report(hits: DataFrame, judgments: DataFrame, at: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """(k, queries, recall, precision, mrr, ndcg): means over the judged queries at several cut-offs; the reciprocal rank is the same at each."""
+    out = [retrieval_summary(retrieval(hits, judgments, k)).withColumn("k", F.lit(k)) for k in at]
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole.select("k", "queries", "recall", "precision", "mrr", "ndcg")
+
+
 def _ratio(a, b):
     return F.when(b > 0, a / F.nullif(b, F.lit(0))).otherwise(0.0)
 

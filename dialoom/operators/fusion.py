@@ -31,8 +31,7 @@ def _sides(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
 
 
 def _finish(scored: DataFrame, top_k: int) -> DataFrame:
-    parts = scored.select("query_id", "doc_id", "lexical_score", "semantic_score")
-    return ranked(scored, "raw", top_k).join(parts, ["query_id", "doc_id"])
+    return ranked(scored, "raw", top_k, beside=("lexical_score", "semantic_score"))
 
 
 def reciprocal_rank(lexical: DataFrame, semantic: DataFrame, k: int = 60, top_k: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dialoom.errors import ConfigurationError
 from dialoom.functions import text as T
+from dialoom.sources.working import kept
 
 
 @dataclass(frozen=True)
@@ -40,8 +41,9 @@ class LexicalIndex:
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: LexicalConfig = LexicalConfig()) -> LexicalIndex:
-    """Tokenised once; a document without terms counts for the average length only."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
+    """Read and tokenised once, into a working table that all parts of the index are made of; a document without terms counts for the average length only."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+    rows = kept(rows, "bm25-terms").withColumn("dl", F.size("terms"))
     postings = rows.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = rows.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_length")).join(df.agg(F.count(F.lit(1)).alias("vocabulary")))
@@ -51,20 +53,22 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confi
 def search(ix: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: str = "query_id", query_text: str = "query_text") -> DataFrame:
     """(query_id, rank, doc_id, score) of the top_k for each query.
 
-    The queries' terms cut the postings down before anything is scored; a term that a query repeats counts
+    The queries' terms cut the postings down before they are counted or scored, and only their frequencies are asked for; a term that a query repeats counts
     as often. Scores rank at nine places, so that the order of summing does not matter; equal ones rank by doc_id.
     They are rounded to six places after ranking.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     k1, b = ix.config.k1, ix.config.b
     # One row of statistics: a broadcast of proven size.
-    hits = ix.postings.join(asked, "term").join(ix.df, "term").join(F.broadcast(ix.stats.select("documents", "avg_length")))
+    cut = kept(ix.postings.join(asked.select("term").distinct(), "term", "left_semi"), "bm25-postings")
+    df = cut.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = cut.join(asked, "term").join(df, "term").join(F.broadcast(ix.stats.select("documents", "avg_length")))
     idf = F.log((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_length"))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * F.col("tf") * (k1 + 1) / norm), 9).alias("raw")).where("raw > 0")
     return ranked(scored, "raw", top_k)
 
 
-def ranked(scored: DataFrame, column: str, top_k: int, item: str = "doc_id") -> DataFrame:
+def ranked(scored: DataFrame, column: str, top_k: int, item: str = "doc_id", beside: tuple[str, ...] = ()) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(column), F.asc(item))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", item, F.round(column, 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", item, F.round(column, 6).alias("score"), *beside)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -297,6 +298,11 @@ def compile_rule(source: str, rule_id: str, name: str | None = None) -> Rule:
     for t in tests_of(tree):
         if t.threshold is not None and t.family == "semantic" and not 0 <= t.threshold <= 1:
             raise RuleError(f"a threshold is between 0 and 1, not {t.threshold}")
+        if t.operator == "regex":
+            try:
+                re.compile(str(t.value))
+            except re.error as e:
+                raise RuleError(f"{t.value!r} is no pattern: {e}") from e
     return Rule(rule_id, name or rule_id, tree, tags, priority, meta)
 
 
@@ -306,23 +312,35 @@ def to_dsl(tree) -> str:
         return f"NOT {to_dsl(tree.part)}"
     if isinstance(tree, (All, Any)):
         return "(" + (" AND " if isinstance(tree, All) else " OR ").join(map(to_dsl, tree.parts)) + ")"
-    quote = lambda v: str(v) if isinstance(v, (int, float)) else '"' + str(v).replace("\\", "\\\\").replace('"', '\\"') + '"'
-    names = {v: k for k, v in _TEXT_TESTS.items()}
-    if tree.operator in names:
-        return f"{names[tree.operator]}({quote(tree.field)}, {quote(tree.value)})"
+    names, signs = {v: k for k, v in _TEXT_TESTS.items()}, {v: k for k, v in SIGNS.items()}
+    if tree.operator in names and tree.family == "lexical":
+        return f"{names[tree.operator]}({_quoted(tree.field)}, {_quoted(tree.value)})"
     if isinstance(tree.value, tuple):
-        return f"{tree.operator}([{', '.join(map(quote, tree.value))}])"
+        return f"{tree.operator}([{', '.join(map(_quoted, tree.value))}])"
     if tree.operator == "near":
-        return f"near({quote(tree.value)}, {', '.join(map(quote, tree.extra))})"
-    if tree.family == "contextual" and not tree.operator.startswith("window"):
-        return f"{tree.operator}({quote(tree.field)}, {quote(tree.value)}, {quote(tree.extra[0])})"
+        return f"near({_quoted(tree.value)}, {', '.join(map(_quoted, tree.extra))})"
+    if tree.family == "contextual" and tree.operator.startswith("window_"):
+        conditions, sign = tree.extra
+        call = f"context.turn_window({tree.value}).{tree.operator.removeprefix('window_')}({', '.join(f'{k}={_quoted(v)}' for k, v in conditions)})"
+        return call if tree.threshold is None else f"{call} {signs[sign]} {_quoted(tree.threshold)}"
+    if tree.family == "contextual":
+        return f"{tree.operator}({_quoted(tree.field)}, {_quoted(tree.value)}, {_quoted(tree.extra[0])})"
     if tree.family == "semantic":
-        return f"similarity({quote(tree.field)}, {quote(tree.value)}, {tree.threshold or 0.5})" if tree.operator == "similarity_above" else f"intent({quote(tree.value)}, {tree.threshold or 0.5})"
+        if tree.operator == "similarity_above" and tree.threshold is not None:
+            return f"similarity({_quoted(tree.field)}, {_quoted(tree.value)}, {_quoted(tree.threshold)})"
+        call = f"semantic.{'intent' if tree.field == 'intent_score' else 'similarity'}({_quoted(tree.value)})"
+        return call if tree.threshold is None else f"{call} {signs[tree.operator]} {_quoted(tree.threshold)}"
     back = {v: k for k, v in FIELDS.items()}
     if tree.field in back:
-        sign = {v: k for k, v in SIGNS.items()}[tree.operator]
-        return f"{back[tree.field]} {sign} {quote(tree.value)}"
-    return f"field_{tree.operator}({quote(tree.field)}, {quote(tree.value)})"
+        return f"{back[tree.field]} {signs[tree.operator]} {_quoted(tree.value)}"
+    return f"field_{tree.operator}({_quoted(tree.field)}, {_quoted(tree.value)})"
+
+
+def _quoted(value) -> str:
+    """A value as the lexer reads it; it knows no exponents."""
+    if isinstance(value, float):
+        return format(Decimal(repr(value)), "f")
+    return str(value) if isinstance(value, int) else '"' + str(value).replace("\\", "\\\\").replace('"', '\\"') + '"'
 
 
 # ---------------------------------------------------------------- columns

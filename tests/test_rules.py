@@ -54,3 +54,28 @@ def test_errors(bad):
 def test_written_back():
     tree = R.parse('(keyword("a \\"q\\"") OR NOT near("x", "y", 2)) AND speaker == "agent" AND contains_any(["p", "q"])')
     assert R.parse(R.to_dsl(tree)) == tree
+
+
+@pytest.mark.parametrize(
+    "dsl",
+    [
+        'keyword("a \\"b\\" \\\\ c")', 'word("title", "x")', 'stem("x")', 'regex("a+")', 'not_contains("x")', 'starts_with("x")', 'ends_with("x")', 'contains_any("a", "b")', 'contains_all(["a", "b"])', 'excludes_any("a")', 'near("a", "b", 3)',
+        'speaker("agent")', 'speaker != "agent"', 'channel == "voice"', 'field_eq("f", "x")', 'field_gte("f", 3)', 'field_lte("f", 0.00001)', 'repeated("text", "a", 2)', 'occurs_after("text", "a", "b")', 'intent("x")', 'intent("x", 0)', 'intent("x", 0.3)',
+        'semantic.intent("x") < 0.3', 'semantic.intent("x") >= 0', 'semantic.similarity("x")', 'semantic.similarity("x") > 0.9', 'similarity("f", "x", 0.0)', 'context.turn_window(5).count(keyword="a", speaker="agent") >= 2', 'context.turn_window(3).any(keyword="a")',
+        'lexical.near("a", "b")', 'lexical.word("x")', '(keyword("a") OR NOT word("b")) AND NOT (stem("c") AND regex("d"))',
+    ],
+)
+def test_text_of_a_tree_reads_as_the_tree(dsl):
+    tree = R.parse(dsl)
+    assert R.parse(R.to_dsl(tree)) == tree
+
+
+def test_malformed_patterns_are_refused():
+    with pytest.raises(RuleError):
+        R.compile_rule('regex("a(")', "r")
+
+
+def test_hangul(spark):
+    df = spark.createDataFrame([("s", "주문 취소 요청", "customer", {"x": 0.1}, {"n": "1"})], "source_id string, text string, speaker_role string, features map<string,double>, metadata map<string,string>")
+    for dsl in ('keyword("취소")', 'word("취소")', 'stem("취")', 'contains_any("취소", "x")', 'near("주문", "취소", 1)', 'repeated("text", "취소", 1)', 'NOT keyword("취솔")'):
+        assert R.evaluate(df, [R.compile_rule(dsl, "r")]).first().matched, dsl

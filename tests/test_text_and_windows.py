@@ -47,3 +47,11 @@ def test_partial_tails(spark):
     assert [r.window_size for r in W.build(turns, W.WindowConfig(include_partial_tail=False)).collect()] == [5]
     cover = W.coverage(turns, W.build(turns, W.WindowConfig(2, 3))).first()
     assert (cover.total_turns, cover.covered, cover.orphans) == (6, 4, 2)
+
+
+def test_folding_of_a_whole_plane(spark):
+    chars = [chr(c) for c in [*range(0x20, 0xD800, 7), *range(0xAC00, 0xD7A4, 3), *range(0xF900, 0xFFF0)]]
+    same = [(c, T.fold_text(c)) for c in chars if len(c.lower()) == 1]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c, _ in same], "t string").select(T.fold(F.col("t"))).collect()]
+    wrong = [(hex(ord(c)), a, b) for (c, a), b in zip(same, got, strict=True) if a != b]
+    assert len(wrong) <= len(same) // 500, wrong[:20]
