@@ -34,10 +34,11 @@ def _jamo(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case, then accents dropped, as fold_text does. Stays in the JVM; only texts with Hangul are taken apart by character."""
+    """Lower case, then accents dropped, as fold_text does. Stays in the JVM; ASCII is lower-cased only, and only texts with Hangul are taken apart by character."""
     source, target = _accents()
     plain = F.regexp_replace(F.translate(F.lower(text), source, target), r"\p{Mn}+", "")
-    return F.when(plain.rlike("[\uac00-\ud7a3]"), _jamo(plain)).otherwise(plain)
+    whole = F.when(text.rlike("[\uac00-\ud7a3]"), _jamo(plain)).otherwise(plain)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(whole)
 
 
 def fold_text(text: str) -> str:
