@@ -22,6 +22,8 @@ SYMBOLS = 28
 ORDER = 4
 #: Parts of the labelled rows; a part's features come from a lexicon of the others.
 FOLDS = 5
+#: Logarithm of the odds above which a term tells.
+TELLING = 3.0
 #: Which letters a character can stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Log-probabilities of the channel.
@@ -231,8 +233,8 @@ def _common(rows: DataFrame, model: np.ndarray, least: int = 3) -> frozenset[str
     return frozenset(r.term for r in collected(arrow_map(rows, run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
 
 
-def _counts(rows: DataFrame, model: np.ndarray, only: frozenset[str]) -> dict[str, np.ndarray]:
-    """In how many toxic and other texts, by fold, each of the terms occurs."""
+def _counts(rows: DataFrame, model: np.ndarray, only: frozenset[str], sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """In how many toxic and other texts, by fold, each of the terms occurs; of terms that tell in no lexicon, none reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int], Counter] = {}
@@ -242,10 +244,18 @@ def _counts(rows: DataFrame, model: np.ndarray, only: frozenset[str]) -> dict[st
             columns = ([*c], [fold] * len(c), [1 - y] * len(c), [*c.values()])
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["term", "fold", "row", "n"])
 
-    found: dict[str, np.ndarray] = {}
-    for r in collected(arrow_map(rows, run, "term string, fold long, row long, n long").groupBy("term", "fold", "row").agg(F.sum("n").alias("n"))):
-        found.setdefault(r.term, np.zeros((2, FOLDS)))[r.row, r.fold] = r.n
-    return found
+    cells = [(row, fold) for row in (0, 1) for fold in range(FOLDS)]
+    found = arrow_map(rows, run, "term string, fold long, row long, n long").groupBy("term").agg(
+        *[F.coalesce(F.sum(F.when((F.col("row") == row) & (F.col("fold") == fold), F.col("n"))), F.lit(0)).alias(f"n{row}{fold}") for row, fold in cells]
+    )
+    tells = F.lit(False)
+    for without in [*range(FOLDS), None]:
+        use = [k for k in range(FOLDS) if k != without]
+        bad, good = (sum((F.col(f"n{row}{k}") for k in use), F.lit(0)) for row in (0, 1))
+        n = sizes[:, use].sum(axis=1)
+        odds = F.log((bad + 0.1) / float(n[0] + 0.2)) - F.log((good + 0.1) / float(n[1] + 0.2))
+        tells = tells | ((bad >= 3) & (odds > TELLING - 1e-6))
+    return {r.term: np.array([r[f"n{row}{fold}"] for row, fold in cells], dtype=np.float64).reshape(2, FOLDS) for r in collected(found.where(tells))}
 
 
 def _lexicon(counts: dict[str, np.ndarray], sizes: np.ndarray, without: int | None) -> dict[str, float]:
@@ -257,7 +267,7 @@ def _lexicon(counts: dict[str, np.ndarray], sizes: np.ndarray, without: int | No
         bad, good = by_fold[:, use].sum(axis=1)
         if bad >= 3:
             odds = math.log((bad + 0.1) / (n[0] + 0.2)) - math.log((good + 0.1) / (n[1] + 0.2))
-            if odds > 3.0:
+            if odds > TELLING:
                 out[term] = odds * math.log1p(bad)  # evidence: how telling, and from how many texts
     return out
 
@@ -297,7 +307,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     lexica: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
     if sizes.sum(axis=1).all():
         rows = train.select("fold", F.col("y").cast("long"), "text")
-        counts = _counts(rows, model, _common(rows.where("y = 1"), model))
+        counts = _counts(rows, model, _common(rows.where("y = 1"), model), sizes)
         lexica = [_lexicon(counts, sizes, k) for k in [*range(FOLDS), None]]
     shared = docs.sparkSession.sparkContext.broadcast((model, lexica))
 
