@@ -10,8 +10,6 @@ from pathlib import Path
 
 from dialoom.schemas import CHANNELS, SOURCE_FORMATS
 
-VERSION = "0.1.0"
-
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="dialoom")
@@ -30,6 +28,8 @@ def main(argv: list[str] | None = None) -> int:
     commands.add_parser("version")
     args = parser.parse_args(argv)
     if args.command == "version":
+        from dialoom.pipeline import VERSION
+
         print(VERSION)
         return 0
     if args.command == "benchmark":
@@ -48,8 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     config = pipeline.PipelineConfig.load(args.config) if args.config else pipeline.PipelineConfig()
     rules = [compile_rule(line, f"rule_{i}") for i, line in enumerate(Path(args.rules).read_text().splitlines()) if line.strip()] if args.rules else []
     result = pipeline.run(readers.transcripts(pipeline.session(), args.path, args.channel, args.format), config, rules)
-    result.save(args.out)
-    print(json.dumps(result.manifest))
+    print(json.dumps(result.manifest | {"path": pipeline.save_outputs(pipeline.session(), result, args.out, args.path)}))
     return 0
 
 

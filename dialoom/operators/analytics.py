@@ -98,6 +98,31 @@ def stats(events: DataFrame) -> DataFrame:
     return events.agg(*_metrics(), F.countDistinct("metric_type").alias("metric_types"))
 
 
+def types(events: DataFrame) -> DataFrame:
+    """(metric_type, events, matched)."""
+    return events.groupBy("metric_type").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.coalesce("matched", F.lit(False))).alias("matched"))
+
+
+def append(events: DataFrame, more: DataFrame) -> DataFrame:
+    return events.unionByName(more)
+
+
+def report_metadata(query: AnalyticsQuery, result_count: int, elapsed_ms: float) -> dict:
+    """What a report says of its query; settings that were not made are left out."""
+    made = {"group_by": query.group_by, "metric_types": list(query.metric_types), "start_time": query.start_time and query.start_time.isoformat(), "end_time": query.end_time and query.end_time.isoformat(), "filters": query.filters}
+    return {"query_id": query.query_id, "result_count": result_count, "generation_time_ms": elapsed_ms} | {k: v for k, v in made.items() if v}
+
+
+def report_metrics(reports: DataFrame) -> DataFrame:
+    """One row on reports(group_count, trend_point_count, total_events, generation_time_ms); without reports all is 0."""
+    results = F.col("group_count") + F.col("trend_point_count")
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
+    return reports.agg(
+        F.count(F.lit(1)).alias("report_count"), mean("generation_time_ms").alias("avg_generation_time_ms"), mean(results).alias("avg_result_count"), mean((results == 0).cast("int")).alias("empty_report_rate"),
+        mean("group_count").alias("avg_group_count"), mean("trend_point_count").alias("avg_trend_point_count"), F.coalesce(F.sum("total_events"), F.lit(0)).alias("total_events_considered"),
+    )
+
+
 def events_of_predictions(predictions: DataFrame, ts: Column) -> DataFrame:
     return predictions.select(
         F.concat(F.lit("evt_"), "prediction_id").alias("event_id"), F.lit("prediction").alias("event_type"), F.col("source_id").cast("string").alias("source_id"), "source_type", ts.alias("ts"),

@@ -51,3 +51,13 @@ def estimated_tokens(text: Column) -> Column:
 def with_memo(inputs: DataFrame, memo: DataFrame, embed: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
     """Known vectors from the memo, the rest embedded now."""
     return inputs.join(memo, keys).select(*inputs.columns, "vector").unionByName(embed(inputs.join(memo, keys, "left_anti")).select(*inputs.columns, "vector"))
+
+
+def encoder_or_null(load: Callable[[], Callable[[list[str]], list]] | None, dimensions: int = 384):
+    """(name, column function): the loader's encoder, or the stand-in where there is none or it fails to load here."""
+    try:
+        if load is not None and callable(load()):
+            return "encoder", encoder_udf(load)
+    except (ImportError, OSError):
+        pass
+    return "null", null_embedding(dimensions)

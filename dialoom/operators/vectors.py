@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dialoom.errors import ConfigurationError, ModelError
 from dialoom.operators.lexical import ranked
+from dialoom.sources.working import read_text, write_text
 
 METRICS = ("cosine", "l2", "dot_product")
 INDEX_TYPES = ("flat", "hnsw", "ivf_flat")
@@ -92,3 +94,43 @@ def load(spark: SparkSession, path: str, config: VectorConfig, vec_col: str = "v
     if vectors.where(F.size(vec_col) != config.dimensions).limit(1).count():
         raise ModelError(f"{path}: vectors have other dimensions than {config.dimensions}")
     return vectors
+
+
+class VectorStore:
+    """A collection of vectors(source_id, vector, …) under a path: upsert, search, clear, count and stats.
+
+    Each change writes a table of its own and then names it in `current`, so readers never see half a change. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, config: VectorConfig):
+        self.spark, self.path, self.config = spark, path.rstrip("/"), config
+
+    def rows(self) -> DataFrame | None:
+        at = read_text(self.spark, f"{self.path}/current")
+        return None if not at else load(self.spark, f"{self.path}/{at}", self.config)
+
+    def _keep(self, table: DataFrame | None) -> None:
+        at = "" if table is None else f"v{time.time_ns()}"
+        if table is not None:
+            save(table, f"{self.path}/{at}")
+        write_text(self.spark, f"{self.path}/current", at)
+
+    def upsert(self, rows: DataFrame) -> None:
+        """rows(source_id, vector, …, seq): of rows with one key the largest seq counts."""
+        old = self.rows()
+        columns = rows.drop("seq").columns
+        self._keep(upsert(rows.select(columns).limit(0) if old is None else old.select(columns), rows))
+
+    def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame | None:
+        rows = self.rows()
+        return None if rows is None else search(rows, queries, self.config, top_k, "source_id")
+
+    def clear(self) -> None:
+        self._keep(None)
+
+    def count(self) -> int:
+        rows = self.rows()
+        return 0 if rows is None else rows.count()
+
+    def stats(self) -> dict:
+        return {"vectors": self.count(), "dimensions": self.config.dimensions, "metric": self.config.metric, "index_type": self.config.index_type}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+import time
+import uuid
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from dialoom.errors import ConfigurationError
 from dialoom.functions import text as T
 from dialoom.operators import analytics, classification, embeddings, lexical, segmentation, windows
 from dialoom.plans import rules as R
+from dialoom.sources.working import write_text
+
+VERSION = "0.1.0"
+STAGES = ("text", "embedding", "index", "classification", "rules", "analytics")
 
 
 @dataclass(frozen=True)
@@ -93,5 +99,27 @@ def summary(result: PipelineResult) -> DataFrame:
     return out.join(result.windows.agg(F.count(F.lit(1)).alias("windows")))
 
 
+def counts(result: PipelineResult) -> dict[str, int]:
+    """Rows of each table of a run; 0 for a stage that was left out."""
+    n = {f"{name}_count": 0 if table is None else table.count() for name, table in (("turns", result.turns), ("windows", result.windows), ("embeddings", result.embeddings), ("predictions", result.predictions), ("rule_executions", result.rules), ("events", result.events))}
+    executed = result.manifest["stages"]
+    return n | {"stages_executed": len(executed), "stages_skipped": len(STAGES) - len(executed)}
+
+
+def save_outputs(spark: SparkSession, result: PipelineResult, base: str, input_path: str = "", run_id: str | None = None, tables: bool = True) -> str:
+    """base/run_…/ with manifest.json, summary.json and the tables of a run; the folder's path. Tables are written first, and counted as written."""
+    run_id = run_id or f"run_{uuid.uuid4().hex[:12]}"
+    at, start = f"{base.rstrip('/')}/{run_id}", time.monotonic()
+    done = result
+    if tables:
+        result.save(at)
+        read = lambda name: None if getattr(result, name) is None else spark.read.parquet(f"{at}/{name}")
+        done = replace(result, **{name: read(name) for name in ("turns", "windows", "embeddings", "predictions", "rules", "events")})
+    summary_ = {"run_id": run_id, "input_path": input_path} | counts(done) | {"total_ms": round((time.monotonic() - start) * 1000, 2)}
+    write_text(spark, f"{at}/manifest.json", json.dumps({"run_id": run_id, "versions": {"library": VERSION, "spark": spark.version}} | result.manifest, indent=2))
+    write_text(spark, f"{at}/summary.json", json.dumps(summary_, indent=2))
+    return at
+
+
 def session(app: str = "dialoom") -> SparkSession:
     return SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").getOrCreate()

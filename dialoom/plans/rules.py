@@ -536,6 +536,19 @@ def family_distribution(results: DataFrame) -> DataFrame:
     return found
 
 
+def fragments(evidence: Column) -> Column:
+    """The parts of a text to mark, each once and in order: both words of `a ~ b (dist=n)` and `a → b`, the word of `a (xn)`, the items of a list."""
+
+    def parts(e: Column) -> Column:
+        text = F.coalesce(e["matched_text"], F.lit(""))
+        near = F.split(F.regexp_replace(text, r"\s*\(dist=\d+\)", ""), " ~ ")
+        pieces = F.when(F.contains(text, F.lit(" ~ ")), near).when(text.rlike(" (?:→|->) "), F.split(text, r"\s*(?:→|->)\s*"))
+        pieces = pieces.when(text.rlike(r"\(x\d+\)"), F.array(F.regexp_replace(text, r"\s*\(x\d+\)", ""))).when(F.contains(text, F.lit(", ")), F.split(text, ", "))
+        return F.filter(F.transform(pieces.otherwise(F.array(text)), lambda x: F.trim(x)), lambda x: x != "")
+
+    return F.array_distinct(F.flatten(F.transform(evidence, parts)))
+
+
 def analyse(rule: Rule) -> dict:
     """What a rule is made of, and warnings, before it runs."""
     tests = list(tests_of(rule.tree))

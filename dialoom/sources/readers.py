@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import zipfile
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialoom.sources.working import write_text
+
 
 def transcripts(spark: SparkSession, path: str, channel: str = "voice", source_format: str = "labeled") -> DataFrame:
     """One transcript per text file; its id is conv_ and the file's name without ending."""
@@ -73,3 +76,47 @@ def label_sets(spark: SparkSession, path: str) -> DataFrame:
     """(example_id, text, labels) of a classification dataset in one JSON file."""
     schema = "examples array<struct<example_id: string, text: string, labels: array<string>>>"
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("examples").alias("e")).select("e.*")
+
+
+def save_judgments(rows: DataFrame, path: str, name: str, version: str = "1.0", description: str = "") -> None:
+    """A retrieval dataset(query_id, query_text, doc_id, relevance) as one JSON file, as `judgments` reads it: a set of queries of a size to be judged by hand."""
+    one = rows.groupBy("query_id", "query_text").agg(F.sort_array(F.collect_list(F.struct(F.col("doc_id").alias("document_id"), "relevance"))).alias("relevant"))
+    _save_examples(one.orderBy("query_id"), path, name, version, description)
+
+
+def save_label_sets(rows: DataFrame, path: str, name: str, version: str = "1.0", description: str = "") -> None:
+    """A classification dataset(example_id, text, labels) as one JSON file, as `label_sets` reads it."""
+    _save_examples(rows.orderBy("example_id"), path, name, version, description)
+
+
+def _save_examples(rows: DataFrame, path: str, name: str, version: str, description: str) -> None:
+    examples = [json.loads(x) for x in rows.toJSON().collect()]
+    write_text(rows.sparkSession, path, json.dumps({"name": name, "version": version, "description": description, "examples": examples}, ensure_ascii=False, indent=2))
+
+
+def save_comparison(rows: DataFrame, path: str, key: str, name: str, version: str = "1.0") -> None:
+    """A comparison with a row for each method, setting or scenario: path.json with the figures of each under its name, and path.csv with a line for each."""
+    found = [r.asDict(recursive=True) for r in rows.collect()]
+    results = [{"name": r[key], "figures": {k: v for k, v in r.items() if k != key}} for r in found]
+    write_text(rows.sparkSession, f"{path}.json", json.dumps({"name": name, "version": version, "results": results}, ensure_ascii=False, indent=2))
+    _save_csv(rows.sparkSession, f"{path}.csv", [key, *[c for c in rows.columns if c != key]], found)
+
+
+def _save_csv(spark: SparkSession, path: str, columns: list[str], rows: list[dict]) -> None:
+    out = io.StringIO()
+    lines = csv.DictWriter(out, columns, extrasaction="ignore")
+    lines.writeheader()
+    lines.writerows(rows)
+    write_text(spark, path, out.getvalue())
+
+
+def save_analytics(sections: DataFrame, path: str, name: str, metadata: dict | None = None) -> None:
+    """A report of `analytics.composite`(section, group_key, metric, value, kind: group or trend): path.json, path.csv of the groups and path_trend.csv of the points."""
+    found = [r.asDict() for r in sections.orderBy("section", "group_key", "metric").collect()]
+    by = {}
+    for r in found:
+        part = by.setdefault(r["section"], {"name": r["section"], "grouped_metrics": [], "trend_series": []})
+        part["trend_series" if r["kind"] == "trend" else "grouped_metrics"].append({k: r[k] for k in ("group_key", "metric", "value")})
+    write_text(sections.sparkSession, f"{path}.json", json.dumps({"name": name, "metadata": metadata or {}, "sections": list(by.values())}, ensure_ascii=False, indent=2))
+    for kind, ending in (("group", ""), ("trend", "_trend")):
+        _save_csv(sections.sparkSession, f"{path}{ending}.csv", ["section", "group_key", "metric", "value"], [r for r in found if r["kind"] == kind])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -20,3 +20,27 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/dialoom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, on whatever file system the path names."""
+    where, system = _file(spark, path)
+    out = system.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file, or None where there is none."""
+    where, system = _file(spark, path)
+    if not system.exists(where):
+        return None
+    row = spark.read.text(path, wholetext=True).first()  # no row for an empty file
+    return row[0] if row else ""
