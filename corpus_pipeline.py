@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences, in five stages.
+
+Every stage reads the columns of `documents` only, whatever others there are and whatever their names. Null texts count
+as empty; a null id comes before all others in line dedup and after them in near-dedup. Rows that are equal in all
+columns are scored, cleaned and drawn alike, and near-dedup leaves one of them. A table without rows gives one without rows.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +26,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    docs = docs.select(COLUMNS)  # other columns could clash with those of the join
     scored = quality.quality(docs, _labels(spark, sf_dir))
     rejected = scored.where("predicted = 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
     return docs.join(rejected, docs.doc_id.eqNullSafe(F.col("id")) & (_text_hash() == F.col("hash")), "left_anti").select(COLUMNS)
@@ -28,16 +34,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others repeat, exactly or nearly; n_chars follows."""
-    return line_dedup.line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+    return line_dedup.line_dedup(docs.select(COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def different_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): that with the smallest doc_id; rows with a null doc_id come last."""
-    return near_documents.one_of_each(docs).select(COLUMNS)
+    return near_documents.one_of_each(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says: not at all, once or several times."""
+    docs = docs.select(COLUMNS)
     rated, _ = mixing.mix(docs, mixing.language_labels(docs, _labels(spark, sf_dir)))
     other = rated.where("copies <> 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "copies").distinct()
     counted = docs.join(other, docs.doc_id.eqNullSafe(F.col("id")) & (_text_hash() == F.col("hash")), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
@@ -46,7 +53,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack(docs, packing.Limits(tokens=2048, segments=256, loss=2048))
+    return packing.pack(docs.select(COLUMNS), packing.Limits(tokens=2048, segments=256, loss=2048))
 
 
 STAGES = [
