@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dialoom.errors import ConfigurationError, ModelError
 from dialoom.operators.lexical import ranked
+from dialoom.operators.nearest import nearest
 from dialoom.sources.working import read_text, write_text
 
 METRICS = ("cosine", "l2", "dot_product")
@@ -75,14 +76,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "source_id") -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, config: VectorConfig, top_k: int = 10, id_col: str = "doc_id", vec_col: str = "vector") -> DataFrame:
     """(query_id, rank, doc_id, score) of the top_k for queries(query_id, query_vector).
 
-    A stated set of queries against all vectors. Scoring needs every pair; ranks are cut within each
-    task before the exchange, so it carries top_k rows per query and task.
+    A stated set of queries against all vectors. Scoring needs every pair, in blocks (see nearest); ranks are cut within each
+    task before the exchange, so it carries top_k rows per query and part of the vectors.
     """
     rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v"))
     bad = F.size("v") != config.dimensions
     rows = rows.where(F.assert_true(~bad, "a vector has other dimensions than the index").isNull())
-    scored = rows.join(F.broadcast(queries.select("query_id", "query_vector")), how="cross").select("query_id", "doc_id", score(config.metric, F.col("v"), F.col("query_vector")).alias("raw"))
-    return ranked(scored, "raw", top_k)
+    return ranked(nearest(rows, queries.select("query_id", "query_vector"), config.metric, config.dimensions, top_k), "raw", top_k)
 
 
 def save(vectors: DataFrame, path: str) -> None:
