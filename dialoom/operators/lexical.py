@@ -62,7 +62,9 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confi
     rows = kept(rows, "bm25-terms").withColumn("dl", F.size("terms"))
     postings = rows.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = rows.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_length")).join(df.agg(F.count(F.lit(1)).alias("vocabulary")))
+    # The vocabulary is a subquery, as a search does not ask for it: a join would count all postings all the same.
+    vocabulary = F.coalesce(df.agg(F.count(F.lit(1))).scalar(), F.lit(0))
+    stats = rows.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_length")).withColumn("vocabulary", vocabulary)
     return LexicalIndex(postings, df, stats, config)
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +48,10 @@ def test_no_pair_is_scored_by_expression(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0])], SCHEMA)
     plan = vectors.search(v, v.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector")), vectors.VectorConfig(2))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_a_search_counts_no_vocabulary(spark):
+    ix = lexical.index(spark.createDataFrame([(1, "a b b"), (2, "c")], "doc_id int, text string"))
+    assert ix.stats.first().asDict() == {"documents": 2, "avg_length": 2.0, "vocabulary": 3}
+    assert "Join" not in ix.stats.select("documents", "avg_length")._jdf.queryExecution().optimizedPlan().toString()
+    assert "term" not in ix.stats.select("documents", "avg_length")._jdf.queryExecution().optimizedPlan().toString().replace("terms", "")
