@@ -80,7 +80,9 @@ def search(ix: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: str
     # One row of statistics: a broadcast of proven size.
     cut = kept(ix.postings.join(asked.select("term").distinct(), "term", "left_semi"), "bm25-postings")
     df = cut.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = cut.join(asked, "term").join(df, "term").join(F.broadcast(ix.stats.select("documents", "avg_length")))
+    # Written, so that its size is known when the join is planned. Where it is small, all rows of a document are in one task, and sums need no exchange.
+    weighed = kept(asked.join(df, "term"), "bm25-asked")
+    hits = cut.repartition("doc_id").join(weighed, "term").join(F.broadcast(ix.stats.select("documents", "avg_length")))
     idf = F.log((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_length"))
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * idf * F.col("tf") * (k1 + 1) / norm).alias("raw")).where("raw > 0")

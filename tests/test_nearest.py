@@ -55,3 +55,13 @@ def test_a_search_counts_no_vocabulary(spark):
     assert ix.stats.first().asDict() == {"documents": 2, "avg_length": 2.0, "vocabulary": 3}
     assert "Join" not in ix.stats.select("documents", "avg_length")._jdf.queryExecution().optimizedPlan().toString()
     assert "term" not in ix.stats.select("documents", "avg_length")._jdf.queryExecution().optimizedPlan().toString().replace("terms", "")
+
+
+def test_scores_are_summed_where_the_document_is(spark):
+    """One exchange of postings, by doc_id, and none of (query, document) pairs."""
+    ix = lexical.index(spark.createDataFrame([(i, f"a b b w{i}" if i else "c") for i in range(3000)], "doc_id long, text string"))
+    hits = lexical.search(ix, spark.createDataFrame([("q", "a b")], "query_id string, query_text string"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert [r.doc_id for r in hits.orderBy("rank").collect()] == list(range(1, 11))
+    assert [re.sub(r"#\d+L?|, \d+$", "", x) for x in dealt] == ["query_id", "doc_id"], dealt
