@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dialoom.errors import ConfigurationError
 from dialoom.operators.lexical import ranked
+from dialoom.sources.working import kept
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,8 @@ def hybrid(lexical: DataFrame | None, semantic: DataFrame | None, config: Hybrid
         hits = restrict(lexical if use_lexical else semantic)
         return ("lexical_only" if use_lexical else "semantic_only"), ranked(hits, "score", k)
     lexical, semantic = restrict(lexical.where(F.col("rank") <= config.lexical_top_k)), restrict(semantic.where(F.col("rank") <= config.vector_top_k))
+    # Each side is asked for several times, and would be searched as often.
+    lexical, semantic = kept(lexical, "hybrid-lexical"), kept(semantic, "hybrid-semantic")
     both = lexical.select("query_id").distinct().join(semantic.select("query_id").distinct(), "query_id")
     fused = reciprocal_rank(lexical, semantic, config.rrf_k, k) if config.strategy == "rrf" else linear(lexical, semantic, config.semantic_weight, k)
     alone = lexical.unionByName(semantic).join(both, "query_id", "left_anti")

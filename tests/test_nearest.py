@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.operators import lexical, nearest, vectors
+from dialoom.operators import fusion, lexical, nearest, vectors
 
 SCHEMA = "doc_id string, vector array<double>"
 
@@ -65,3 +65,13 @@ def test_scores_are_summed_where_the_document_is(spark):
     dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
     assert [r.doc_id for r in hits.orderBy("rank").collect()] == list(range(1, 11))
     assert [re.sub(r"#\d+L?|, \d+$", "", x) for x in dealt] == ["query_id", "doc_id"], dealt
+
+
+def test_hybrid_searches_each_side_once(spark, monkeypatch):
+    names, kept = [], fusion.kept
+    monkeypatch.setattr(fusion, "kept", lambda df, name: names.append(name) or kept(df, name))
+    side = lambda q, doc: spark.createDataFrame([(q, 1, doc, 0.5)], "query_id long, rank int, doc_id long, score double").unionByName(spark.createDataFrame([(9, 1, 4, 0.25)], "query_id long, rank int, doc_id long, score double"))
+    mode, hits = fusion.hybrid(side(1, 2), side(3, 5))
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in hits.collect())
+    assert mode == "hybrid" and got == [(1, 1, 2, 0.5), (3, 1, 5, 0.5), (9, 1, 4, round(2 / 61, 6))]
+    assert names == ["hybrid-lexical", "hybrid-semantic"] and "LogicalRDD" not in hits._jdf.queryExecution().optimizedPlan().toString()
