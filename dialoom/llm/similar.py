@@ -193,6 +193,8 @@ def similar_groups(members: DataFrame, sketches: DataFrame, texts_of: Callable[[
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), seen(1).alias("a"), seen(2).alias("b")).where("n > 1")
     buckets = written(buckets.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key", "n"), f"{name}-buckets")
     live = written(members.join(buckets.hint("shuffle_hash"), "key").select("key", "node", "n"), f"{name}-members")
+    # Few nodes share a bucket. Their sketches are picked once, so that the joins below do not each shuffle all sketches.
+    sketches = written(sketches.join(live.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), f"{name}-sketches")
     of = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     parts = lambda n: F.ceil(F.col(n) / PART).cast("int")

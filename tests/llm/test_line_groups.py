@@ -138,3 +138,14 @@ def test_line_dedup_equals_brute_force_at_its_threshold(spark):
         want = groups_by_hand(texts, threshold)
         got = line_dedup.line_dedup(docs, threshold=threshold).where("n_removed = 0").collect()
         assert sorted(r.doc_id for r in got) == sorted(set(want))
+
+
+def test_only_sketches_of_candidates_are_joined(spark, monkeypatch):
+    asked, promising = [], similar._promising
+    monkeypatch.setattr(similar, "_promising", lambda units, sketches, threshold: asked.append({r.node for r in sketches.collect()}) or promising(units, sketches, threshold))
+    texts = ["a line of its own, that no other line is like", "one of two lines that are nearly the same as the other", "one of two lines that are nearly the same as the others"]
+    members = spark.createDataFrame([(5, 0), (6, 1), (6, 2), (7, 2)], "key long, node long")
+    sketches = spark.createDataFrame([(i, 1) for i in range(3)], "node long, b0 long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = similar.similar_groups(members, sketches, lambda needed: rows.join(needed, "node"), line_dedup.line_shingles, 0.8, "few")
+    assert [(r.node, r.component) for r in found.collect()] == [(2, 1)] and asked == [{1, 2}]
